@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import documents, narrow, written
 from .textvec import _CODES, Words, column_bytes, mix, slices
@@ -82,7 +83,7 @@ def repeated(docs: DataFrame, bits: int = BITS, min_bytes: int = MIN_BYTES) -> D
     return found.select("doc_id", "start", (F.col("end") - F.col("start")).alias("n_bytes"), "n_chunks", "first_docs").where(F.col("n_bytes") >= min_bytes)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
     for t, cut in zip(text, spans):

@@ -61,21 +61,21 @@ WITH RECURSIVE placed AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, coalesce(text, '')) - 1 AS pos
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), raw AS (
-  SELECT conv_id, pos, unnest(regexp_split_to_array(text, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS at FROM placed
+  SELECT conv_id, pos, unnest(regexp_split_to_array(text, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS k FROM placed
 ), lines AS (
-  SELECT conv_id, pos, at, line, length(replace(replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), ' ', ''), chr(9), '')) AS depth,
+  SELECT conv_id, pos, k, line, length(replace(replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), ' ', ''), chr(9), '')) AS depth,
     regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') AS body
   FROM raw
 ), marked AS (
-  SELECT *, coalesce(lag(depth) OVER w, 0) AS last_depth, coalesce(lead(depth) OVER w, 0) AS next_depth FROM lines WINDOW w AS (PARTITION BY conv_id, pos ORDER BY at)
+  SELECT *, coalesce(lag(depth) OVER w, 0) AS last_depth, coalesce(lead(depth) OVER w, 0) AS next_depth FROM lines WINDOW w AS (PARTITION BY conv_id, pos ORDER BY k)
 ), own AS (
-  SELECT conv_id, pos, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY at) FILTER (WHERE depth = 0 AND NOT (next_depth > 0 AND regexp_matches(body, '(?i)^[ \t]*(on|am|le|el)[ \t].*(wrote|schrieb|écrit|escribió)[ \t]?:[ \t]*$'))), ''), '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') AS said
+  SELECT conv_id, pos, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (WHERE depth = 0 AND NOT (next_depth > 0 AND regexp_matches(body, '(?i)^[ \t]*(on|am|le|el)[ \t].*(wrote|schrieb|écrit|escribió)[ \t]?:[ \t]*$'))), ''), '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') AS said
   FROM marked GROUP BY ALL
 ), quoted AS (
-  SELECT conv_id, pos, at, depth, sum(CASE WHEN depth <> last_depth THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, pos ORDER BY at) AS passage, trim(regexp_replace(lower(body), '[ \t\r\n\f]+', ' ', 'g')) AS unit
+  SELECT conv_id, pos, k, depth, sum(CASE WHEN depth <> last_depth THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, pos ORDER BY k) AS passage, trim(regexp_replace(lower(body), '[ \t\r\n\f]+', ' ', 'g')) AS unit
   FROM marked WHERE depth > 0
 ), whole AS (
-  SELECT conv_id, pos, passage, min(depth) AS depth, trim(regexp_replace(string_agg(unit, ' ' ORDER BY at), ' +', ' ', 'g')) AS unit FROM quoted GROUP BY ALL
+  SELECT conv_id, pos, passage, min(depth) AS depth, trim(regexp_replace(string_agg(unit, ' ' ORDER BY k), ' +', ' ', 'g')) AS unit FROM quoted GROUP BY ALL
 ), asks AS (
   SELECT conv_id, pos, passage, depth, unit FROM whole WHERE unit <> '' UNION SELECT conv_id, pos, passage, depth, unit FROM quoted WHERE unit <> ''
 ), answers AS (
@@ -111,10 +111,10 @@ totals AS (SELECT item_id, sum(weight * tf) AS total FROM igrams GROUP BY item_i
 run AS (SELECT doc_id, p, sum(weight) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM dgrams),
 hits AS (SELECT doc_id, item_id, g, p, igrams.n AS size, dgrams.n AS n, igrams.weight, tf FROM dgrams JOIN igrams USING (g)),
 wins AS (SELECT doc_id, item_id, size, n, g, weight, tf, unnest(generate_series(greatest(1, least(p - size + 3, greatest(n - size + 1, 1))), greatest(1, least(p, n - size + 1)))) AS s FROM hits),
-counted AS (SELECT doc_id, item_id, size, n, s, sum(weight * least(tf, own)) AS both FROM (SELECT doc_id, item_id, size, n, s, g, weight, tf, count(*) AS own FROM wins GROUP BY ALL) GROUP BY ALL),
-scored AS (SELECT c.doc_id, c.item_id, s - 1 AS first_word, least(size, n) AS n_words, both / (total + e.upto - coalesce(b.upto, 0) - both) AS similarity
+counted AS (SELECT doc_id, item_id, size, n, s, sum(weight * least(tf, own)) AS shared FROM (SELECT doc_id, item_id, size, n, s, g, weight, tf, count(*) AS own FROM wins GROUP BY ALL) GROUP BY ALL),
+scored AS (SELECT c.doc_id, c.item_id, s - 1 AS first_word, least(size, n) AS n_words, shared / (total + e.upto - coalesce(b.upto, 0) - shared) AS similarity
   FROM counted c JOIN totals USING (item_id) JOIN run e ON e.doc_id = c.doc_id AND e.p = least(s + size - 3, n - 2) LEFT JOIN run b ON b.doc_id = c.doc_id AND b.p = s - 1
-  WHERE both >= 0.5 * total)
+  WHERE shared >= 0.5 * total)
 SELECT doc_id, item_id, CAST(first_word AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words, round(similarity, 6) AS similarity FROM scored WHERE similarity >= 0.6
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first_word) = 1
 """
@@ -128,12 +128,12 @@ SELECT vec_a, vec_b, round(max(cosine), 6) AS cosine FROM (
 
 _OP9 = rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-sets AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(generate_series(1, len(w) - 2), p -> w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) END)) AS g FROM w WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) END)) AS g FROM w WHERE len(w) > 0),
 reps AS (SELECT min(doc_id) AS rep, g FROM sets GROUP BY g),
 copies AS (SELECT rep AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard, true AS copy FROM sets JOIN reps USING (g) WHERE doc_id <> rep),
 flat AS (SELECT rep, len(g) AS n, unnest(g) AS gram FROM reps),
-met AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.n AS n_a, b.n AS n_b, count(*) AS both FROM flat a JOIN flat b ON a.gram = b.gram AND a.rep < b.rep GROUP BY ALL)
-SELECT doc_a, doc_b, round(both / (n_a + n_b - both), 6) AS jaccard, false AS copy FROM met WHERE both >= 0.5 * (n_a + n_b - both)
+met AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM flat a JOIN flat b ON a.gram = b.gram AND a.rep < b.rep GROUP BY ALL)
+SELECT doc_a, doc_b, round(shared / (n_a + n_b - shared), 6) AS jaccard, false AS copy FROM met WHERE shared >= 0.5 * (n_a + n_b - shared)
 UNION ALL SELECT doc_a, doc_b, jaccard, copy FROM copies
 """
 
@@ -141,17 +141,17 @@ UNION ALL SELECT doc_a, doc_b, jaccard, copy FROM copies
 def _op10() -> str:
     words, rows, classes = _WORDS.replace("text", "template"), [], licenses.index(licenses.TEMPLATES, licenses.N, licenses.THRESHOLD, licenses.RECALL)
     family = licenses.families(classes, licenses.THRESHOLD)
-    for k, (license, text) in enumerate(licenses.TEMPLATES):
-        rows.append(f"({k}, '{license}', '{family[license]}', '{text}')")
+    for number, (license, text) in enumerate(licenses.TEMPLATES):
+        rows.append(f"({number}, '{license}', '{family[license]}', '{text}')")
     return rf"""
 WITH t AS (SELECT id, license, family, {words} AS w FROM (VALUES {", ".join(rows)}) AS x(id, license, family, template)),
-tg AS (SELECT DISTINCT id, license, family, size, g FROM (SELECT id, license, family, CAST(pow(2, ceil(log2(2 * len(w)))) AS BIGINT) AS size, unnest(list_transform(generate_series(1, len(w) - 1), p -> w[p] || ' ' || w[p + 1])) AS g FROM t)),
+tg AS (SELECT DISTINCT id, license, family, size, g FROM (SELECT id, license, family, CAST(pow(2, ceil(log2(2 * len(w)))) AS BIGINT) AS size, unnest(list_transform(generate_series(1, len(w) - 1), lambda p: w[p] || ' ' || w[p + 1])) AS g FROM t)),
 tn AS (SELECT id, count(*) AS n FROM tg GROUP BY id),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-dg AS (SELECT doc_id, w[p] || ' ' || w[p + 1] AS g, p - 1 AS at FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS p FROM d)),
-hits AS (SELECT doc_id, at, id, license, family, size, g FROM dg JOIN tg USING (g)),
-wins AS (SELECT doc_id, id, license, family, g, at // (size // 2) * (size // 2) AS s FROM hits
-  UNION ALL SELECT doc_id, id, license, family, g, (at // (size // 2) - 1) * (size // 2) FROM hits WHERE at >= size // 2 AND at + 2 <= (at // (size // 2) + 1) * (size // 2)),
+dg AS (SELECT doc_id, w[p] || ' ' || w[p + 1] AS g, p - 1 AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS p FROM d)),
+hits AS (SELECT doc_id, k, id, license, family, size, g FROM dg JOIN tg USING (g)),
+wins AS (SELECT doc_id, id, license, family, g, k // (size // 2) * (size // 2) AS s FROM hits
+  UNION ALL SELECT doc_id, id, license, family, g, (k // (size // 2) - 1) * (size // 2) FROM hits WHERE k >= size // 2 AND k + 2 <= (k // (size // 2) + 1) * (size // 2)),
 scored AS (SELECT doc_id, license, family, s, count(DISTINCT g) / any_value(n) AS c FROM wins JOIN tn USING (id) GROUP BY doc_id, id, license, family, s),
 best AS (SELECT * FROM scored WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY c DESC, s) = 1)
 SELECT doc_id, license, round(c, 6) AS containment, CAST(s AS INTEGER) AS window_word FROM best QUALIFY c = max(c) OVER (PARTITION BY doc_id, family)

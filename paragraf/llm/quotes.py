@@ -18,6 +18,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 _QUOTED = r"^((?:[ \t]*>)+)[ \t]?(.*)$"
 _ANNOUNCED = r"(?i)^[ \t]*(on|am|le|el)[ \t].*(wrote|schrieb|écrit|escribió)[ \t]?:[ \t]*$"
@@ -27,7 +28,7 @@ def _normal(c):
     return F.trim(F.regexp_replace(F.lower(c), r"[ \t\r\n\f]+", " "))
 
 
-@F.pandas_udf("array<struct<rank: int, depth: int>>")
+@F.pandas_udf(ArrayType(StructType().add("rank", IntegerType()).add("depth", IntegerType())))
 def _reply_order(parents: pd.Series) -> pd.Series:
     """Of a conversation's messages by place, with the place of each one's parent (-1: none): rank in reply order, and depth."""
     out = []
