@@ -161,8 +161,8 @@ def _identify(model: Model):
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """Trained on at most rows rows of docs with doc_id, lang and text; None if there are none or of one language only."""
-    labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sample = [(r["lang"], r["text"]) for r in bounded_sample(labelled, "doc_id", rows).collect()]
+    labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sample = [(r["lang"], r["text"]) for r in bounded_sample(labelled, "doc_id", rows).collect() if r["text"] is not None]
     return train(sample) if sample else None
 
 

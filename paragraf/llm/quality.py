@@ -166,12 +166,14 @@ def text_features(texts: list[str]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model | None:
     """None if there are no positives. Of a doc_id with several labels one of quality 1 suffices."""
-    texts = documents(docs).where("text IS NOT NULL")
+    texts = documents(docs)
     good = bounded_sample(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "doc_id", positive_rows)
-    positive = text_features([r["text"] for r in texts.join(F.broadcast(good), "doc_id").orderBy("doc_id", "text").limit(2 * positive_rows).collect()])
+    # One text of each: of rows that repeat a doc_id the least.
+    trusted = texts.where("text IS NOT NULL").join(F.broadcast(good), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    positive = text_features([r["text"] for r in sorted(trusted.collect())])
     if not len(positive):
         return None
-    unlabelled = text_features([r["text"] for r in bounded_sample(texts, "doc_id", unlabelled_rows, seed=29).collect()])
+    unlabelled = text_features([r["text"] for r in bounded_sample(texts, "doc_id", unlabelled_rows, seed=29).collect() if r["text"] is not None])
     return train(positive, unlabelled)
 
 
