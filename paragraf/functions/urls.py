@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urldefrag, urlencode, urljoin, urlsplit, urlunsplit
+import re
+from urllib.parse import parse_qsl, quote, urldefrag, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,6 +56,11 @@ def url_id(c: Column, keys: tuple[str, ...], dotted: bool = True) -> Column:
     return F.coalesce(*values, non_blank(F.regexp_extract(decoded, "([^/]+)/*$", 1)), F.lit(""))
 
 
+#: What a path may hold as it is; other characters are percent-encoded.
+_SAFE = "!$&'()*+,;=:@[]%/"
+_PLAIN = re.compile("[A-Za-z0-9_.~?#!$&'()*+,;=:@%/\\[\\]-]*")
+
+
 def resolve_one(base: str | None, href: str | None, fragment: bool = True) -> str:
     """href seen from base; empty if it is blank or no URL."""
     href = (href or "").strip(SPACES)
@@ -62,6 +68,9 @@ def resolve_one(base: str | None, href: str | None, fragment: bool = True) -> st
         return ""
     try:
         url = urljoin((base or "").strip(SPACES), href)
+        if not _PLAIN.fullmatch(url):
+            parts = urlsplit(url)
+            url = urlunsplit(parts._replace(path=quote(parts.path, safe=_SAFE)))
         return url if fragment else urldefrag(url).url
     except ValueError:
         return ""

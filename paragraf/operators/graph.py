@@ -89,7 +89,7 @@ def reference_type(kind: Column) -> Column:
 
 def replaced_targets(metadata: Column) -> Column:
     """What the metadata say is replaced: parts between , ; and |, once each, letter case aside."""
-    raw = first_non_blank(*[F.get(F.map_values(F.map_filter(metadata, lambda k, _, n=name: k == n)), F.lit(0)) for name in REPLACING])
+    raw = first_non_blank(*[F.try_element_at(metadata, F.lit(name)) for name in REPLACING])
     return split_list(raw)
 
 
