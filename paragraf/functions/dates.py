@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trimmed
+from .text import let, trimmed
 
 _EDGE = "(?:(?<![0-9A-Za-z_])(?=[0-9])|(?<=[0-9])(?![0-9A-Za-z_]))"
 _ANY = f"{_EDGE}([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}|[0-9]{{8}}){_EDGE}"
@@ -25,8 +25,8 @@ def date_loose(c: Column | str, stamps: bool = True) -> Column:
 
     stamps: RFC 3339 timestamps count as well.
     """
-    v = trimmed(c)
-    return F.coalesce(_whole(v, stamps), _whole(F.nullif(F.regexp_extract(v, _ANY, 1), F.lit("")), stamps))
+    found = lambda v: let(F.nullif(F.regexp_extract(v, _ANY, 1), F.lit("")), lambda d: _whole(d, stamps))
+    return let(trimmed(c), lambda v: F.coalesce(_whole(v, stamps), found(v)))
 
 
 def first_date(*values: Column) -> Column:

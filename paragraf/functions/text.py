@@ -12,6 +12,11 @@ _SPACE = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\
 SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often use has it. For costly values in nested conditions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(c: Column | str) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")

@@ -155,19 +155,25 @@ def emitted(docs: DataFrame, kinds: Kinds = Kinds(), order: str = "id") -> tuple
     return out[0], out[1]
 
 
-def _last_metadata(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metadata: of each name the value that came last."""
-    each = rows.where(F.size("metadata") > 0).select(*keys, "seq", F.explode("metadata").alias("k", "v"))
-    last = each.groupBy(*keys, "k").agg(F.max_by("v", "seq").alias("v"))
-    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("metadata"))
+def _by_entry(rows: DataFrame) -> DataFrame:
+    """A row for each entry of metadata (k, v), or one with null k; opens marks the first of each."""
+    entries = rows.select("*", F.posexplode_outer("metadata").alias("_n", "k", "v"))
+    return entries.withColumn("opens", F.coalesce(F.col("_n") == 0, F.lit(True))).drop("_n", "metadata")
+
+
+#: Of each name the value that came last, from an aggregate by name before.
+_LAST_METADATA = "coalesce(map_from_entries(array_sort(collect_list(struct(k, v)) FILTER (WHERE k IS NOT NULL))), cast(map() AS map<string,string>)) AS metadata"
 
 
 def merged_nodes(rows: DataFrame) -> DataFrame:
-    """One row an id: the first type but unknown, the first label and jurisdiction that aren't blank, the last metadata."""
+    """One row an id: the first type but unknown, the first label and jurisdiction that aren't blank, the last metadata.
+
+    Two aggregations, by id and name and then by id, in one pass over rows.
+    """
     clean = rows.select(trimmed("id").alias("id"), F.coalesce("type", F.lit("unknown")).alias("type"), _blank("label").alias("label"), _blank("jurisdiction").alias("jurisdiction"), F.coalesce("metadata", _none()).alias("metadata"), "seq").where("id <> ''")
-    first = lambda c, blank: F.coalesce(F.min_by(F.when(F.col(c) != blank, F.col(c)), F.when(F.col(c) != blank, F.col("seq"))), F.lit(blank)).alias(c)
-    facts = clean.groupBy("id").agg(first("type", "unknown"), first("label", ""), first("jurisdiction", ""))
-    return facts.join(_last_metadata(clean, ["id"]), "id", "left").withColumn("metadata", F.coalesce("metadata", _none()))
+    facts = {"type": "unknown", "label": "", "jurisdiction": ""}
+    by_name = _by_entry(clean).groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"), *[F.min(F.when(F.col(c) != blank, F.struct("seq", F.col(c).alias("x")))).alias(c) for c, blank in facts.items()])
+    return by_name.groupBy("id").agg(*[F.coalesce(F.min(c)["x"], F.lit(blank)).alias(c) for c, blank in facts.items()], F.expr(_LAST_METADATA))
 
 
 def merged_edges(rows: DataFrame) -> DataFrame:
@@ -175,8 +181,8 @@ def merged_edges(rows: DataFrame) -> DataFrame:
     keys = ["from", "to", "type"]
     clean = rows.select(trimmed("from").alias("from"), trimmed("to").alias("to"), F.coalesce("type", F.lit("")).alias("type"), F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"), F.coalesce("metadata", _none()).alias("metadata"), "seq")
     clean = clean.where("`from` <> '' AND `to` <> '' AND `from` <> `to`")
-    summed = clean.groupBy(*keys).agg(F.sum("weight").alias("weight"))
-    return summed.join(_last_metadata(clean, keys), keys, "left").withColumn("metadata", F.coalesce("metadata", _none()))
+    by_name = _by_entry(clean).groupBy(*keys, "k").agg(F.max_by("v", "seq").alias("v"), F.sum(F.when(F.col("opens"), F.col("weight")).otherwise(0.0)).alias("weight"))
+    return by_name.groupBy(*keys).agg(F.sum("weight").alias("weight"), F.expr(_LAST_METADATA))
 
 
 def build(docs: DataFrame, kinds: Kinds = Kinds(), order: str = "id") -> Graph:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import citations
 from ..functions.dates import closed_range, date_loose, resolved_range
 from ..functions.html import tree
-from ..functions.text import SPACES, collapsed, known, trimmed
+from ..functions.text import SPACES, collapsed, known, let, trimmed
 from ..schema import DOCUMENT_TYPES
 
 _S = T.StringType()
@@ -155,12 +155,20 @@ def page_dates(metas: Column, body: Column, literal_meta_filter: bool = False) -
     ends = lambda m: ~starts(m) & (has(m["key"], _END_KEYS) | has(F.lower(m["content"]), _END_WORDS))
     first = lambda test: F.get(F.filter(F.transform(F.filter(kept, test), lambda m: date_loose(m["content"])), lambda t: t.isNotNull()), F.lit(0))
     meta_published = F.coalesce(first(lambda m: ~starts(m) & ~ends(m)), date_loose(F.get(kept, F.lit(0))["content"]))
-    flat = collapsed(body)
-    body_from = date_loose(_labelled(flat, ("inkraft(?:treten)?", "gueltig ab", "gültig ab", "wirksam ab", "effective from")))
-    body_to = date_loose(_labelled(flat, ("ausserkraft(?:treten)?", "außerkraft(?:treten)?", "gueltig bis", "gültig bis", "wirksam bis", "effective to", "valid to")))
-    body_published = F.coalesce(date_loose(_labelled(flat, ("verkuendet", "verkündet", "veroeffentlicht", "veröffentlicht", "ausfertigung", "stand vom", "published", "date"))), date_loose(flat))
-    start, end = resolved_range(first(starts), first(ends), body_from, body_to)
-    return F.coalesce(meta_published, body_published), start, end
+
+    def body_dates(flat: Column) -> Column:
+        start = date_loose(_labelled(flat, ("inkraft(?:treten)?", "gueltig ab", "gültig ab", "wirksam ab", "effective from")))
+        end = date_loose(_labelled(flat, ("ausserkraft(?:treten)?", "außerkraft(?:treten)?", "gueltig bis", "gültig bis", "wirksam bis", "effective to", "valid to")))
+        published = F.coalesce(date_loose(_labelled(flat, ("verkuendet", "verkündet", "veroeffentlicht", "veröffentlicht", "ausfertigung", "stand vom", "published", "date"))), date_loose(flat))
+        return F.struct(start.alias("start"), end.alias("end"), published.alias("published"))
+
+    def all_dates(x: Column) -> Column:
+        b = x["body"]
+        start, end = resolved_range(x["start"], x["end"], b["start"], b["end"])
+        return F.struct(F.coalesce(x["published"], b["published"]).alias("published"), start.alias("start"), end.alias("end"))
+
+    found = let(F.struct(first(starts).alias("start"), first(ends).alias("end"), meta_published.alias("published"), let(collapsed(body), body_dates).alias("body")), all_dates)
+    return found["published"], found["start"], found["end"]
 
 
 def short_title(title: Column | str, longest: int = 24) -> Column:

@@ -23,6 +23,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Before costly Python: a table in fewer splits than there are cores is spread over them; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
@@ -68,7 +74,7 @@ _EXPECTED = """
 
 def cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence with citations for each line item."""
-    return _table(spark, sf_dir, "lineitem").selectExpr(*_NUMBERS.split(", ")).selectExpr("l_linenumber", f"{_LINE} AS text")
+    return _spread(_table(spark, sf_dir, "lineitem")).selectExpr(*_NUMBERS.split(", ")).selectExpr("l_linenumber", f"{_LINE} AS text")
 
 
 @_query(f"""WITH lines AS (SELECT l_linenumber % 4 AS kind, * FROM (SELECT {_NUMBERS} FROM lineitem)), found AS ({_EXPECTED})
@@ -83,7 +89,7 @@ def norm_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def norm_references_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.expr("concat('Im Strafgesetzbuch regeln dies §§ ', o_orderkey % 400 + 1, ', ', o_orderkey % 400 + 1001, ' oder ', o_custkey % 90 + 2001, 'a abschließend.')")
     # The law is named by its title near by, which references carry in capitals.
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", made.alias("text"))
+    orders = _spread(_table(spark, sf_dir, "orders")).select("o_orderkey", made.alias("text"))
     return orders.select("o_orderkey", F.posexplode(citations.references("text")).alias("pos", "r")).select("o_orderkey", "pos", "r.target")
 
 
@@ -94,7 +100,7 @@ _BETWEEN = "CASE o_orderkey % 6 WHEN 0 THEN ' i. V. m. ' WHEN 1 THEN ' in Verbin
 FROM orders WHERE o_orderkey % 6 < 4""")
 def norm_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.expr(f"concat('§ ', o_orderkey % 300 + 1, {_BETWEEN}, '§ ', o_custkey % 300 + 301, ' und § ', o_custkey % 300 + 601, ' VWGO')")
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", made.alias("text"))
+    orders = _spread(_table(spark, sf_dir, "orders")).select("o_orderkey", made.alias("text"))
     return orders.select("o_orderkey", F.explode(citations.chains("text")).alias("c")).select("o_orderkey", "c.source", "c.target")
 
 
@@ -182,17 +188,17 @@ _ANY_LINK = portals.Portal("page", "", "", (), ("example",), ("/",), (), ("ref",
 
 
 @_query(r"""WITH hits AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS base, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) AS k FROM pages),
-found AS (SELECT page_id, k, base || '/' || url_encode(regexp_extract(a, '"/([^"]*)"', 1)) AS url, regexp_extract(a, '"/([^"]*)"', 1) AS id, regexp_extract(a, '>([^<]*)<', 1) AS title FROM hits),
+found AS (SELECT page_id, k, base || '/' || replace(url_encode(regexp_extract(a, '"/([^"]*)"', 1)), '%2C', ',') AS url, regexp_extract(a, '"/([^"]*)"', 1) AS id, regexp_extract(a, '>([^<]*)<', 1) AS title FROM hits),
 firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY k) = 1)
 SELECT page_id AS page, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INTEGER) AS pos, id, url, title FROM firsts""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portals.listed(_table(spark, sf_dir, "pages"), _ANY_LINK, "html", "url")
+    return portals.listed(_spread(_table(spark, sf_dir, "pages").select("page_id", "url", "html")), _ANY_LINK, "html", "url")
 
 
 @_query(r"""SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, 'law' AS type FROM pages""")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = parse.html_document("html")
-    return _table(spark, sf_dir, "pages").select("page_id", doc.alias("d")).select("page_id", "d.title", "d.type")
+    return _spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", doc.alias("d")).select("page_id", "d.title", "d.type")
 
 
 @_query(r"""SELECT p_partkey, 'p' || p_partkey AS id, p_name AS title, p_brand AS short_title, CASE lower(p_type) WHEN 'standard' THEN 'law' WHEN 'economy' THEN 'order' ELSE 'unknown' END AS type, TIMESTAMP '2020-01-01' + INTERVAL 1 DAY * (p_partkey % 365) AS effective_from,
@@ -200,7 +206,7 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.expr("""concat('<law id="p', p_partkey, '"><title> ', p_name, ' </title><shortTitle>', p_brand, '</shortTitle><jurisdiction>DE</jurisdiction><type>', decode(p_type, 'STANDARD', ' Law', 'ECONOMY', 'order', p_type), '</type><effectiveFrom>',
         date_format(date_add(DATE'2020-01-01', cast(p_partkey % 365 AS INT)), if(p_partkey % 2 = 0, 'dd.MM.yyyy', 'yyyy-MM-dd')), '</effectiveFrom><effectiveTo>', if(p_partkey % 3 > 0, '20210630', '2019-01-01'), '</effectiveTo><sections><section id="S', p_size, '"><heading>Teil &amp; ', p_type, '</heading><content>x</content></section></sections></law>')""")
-    docs = _table(spark, sf_dir, "part").select("p_partkey", parse.xml_document(made).alias("d"))
+    docs = _spread(_table(spark, sf_dir, "part")).select("p_partkey", parse.xml_document(made).alias("d"))
     return docs.select("p_partkey", "d.id", "d.title", "d.short_title", "d.type", "d.effective_from", "d.effective_to", F.get("d.sections", F.lit(0))["identifier"].alias("identifier"), F.get("d.sections", F.lit(0))["heading"].alias("heading"))
 
 
@@ -230,7 +236,7 @@ _ORDER = "o_orderkey, o_custkey, o_orderkey % 4 AS kind, o_custkey % 900 + 1 AS
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document with two sections for each order, cited and chained."""
-    rows = _table(spark, sf_dir, "orders").selectExpr(*_ORDER.split(", "))
+    rows = _spread(_table(spark, sf_dir, "orders").selectExpr(*_ORDER.split(", ")))
     first = "CASE kind WHEN 0 THEN concat('Nach § ', n, ' BGB gilt dies.') WHEN 1 THEN concat('Gemaess Art. ', n, ' GG und § ', m, ' ZPO.') WHEN 2 THEN concat('Siehe §§ ', n, ', ', m, ' ZPO.') ELSE concat('§ ', n, ' i. V. m. § ', m, ' VWGO') END"
     content = F.array(F.expr(first), F.lit("Das Grundgesetz gilt."))
     parts = F.transform(content, lambda c, i: F.struct(F.concat(F.lit("§ "), (i + 1).cast("string")).alias("identifier"), F.lit("").alias("heading"), c.alias("content")))
