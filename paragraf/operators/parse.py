@@ -183,8 +183,10 @@ def _sections(sections: Column, law: Column | None, cited: bool) -> Column:
     plain = lambda s, r, c: F.struct(s["identifier"].alias("identifier"), s["heading"].alias("heading"), s["content"].alias("content"), r.alias("refs"), c.alias("norm_chains"))
     if not cited:
         return F.transform(sections, lambda s: plain(s, refs, chains))
-    found = cite_all(F.transform(sections, lambda s: F.struct(trimmed(F.concat(s["heading"], F.lit("\n"), s["content"])).alias("text"), F.coalesce(s["law"], law if law is not None else F.lit("")).alias("law"))))
-    return F.transform(sections, lambda s, i: plain(s, F.get(found, i)["refs"], F.get(found, i)["norm_chains"]))
+    # Spark takes no Python function inside a lambda: what comes from one is zipped in.
+    laws = F.array_repeat(law if law is not None else F.lit(""), F.coalesce(F.size(sections), F.lit(0)))
+    texts = F.zip_with(sections, laws, lambda s, d: F.struct(trimmed(F.concat(s["heading"], F.lit("\n"), s["content"])).alias("text"), F.coalesce(s["law"], d).alias("law")))
+    return F.zip_with(sections, cite_all(texts), lambda s, f: plain(s, f["refs"], f["norm_chains"]))
 
 
 _CITED = T.ArrayType(T.StructType([T.StructField("refs", T.ArrayType(citations.REFERENCE)), T.StructField("norm_chains", T.ArrayType(citations.CHAIN))]))
