@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side (ids and the like) is broadcast; beyond it the join shuffles.
@@ -44,9 +44,21 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def narrow(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows (counted), else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def narrow(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it is small, else as it is, for a shuffled join.
+
+    Small is at most limit rows (counted), or where rows hold arrays: a sum of weight of at most limit.
+    """
+    size = df.limit(limit + 1).count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many _ as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(docs: DataFrame) -> DataFrame:

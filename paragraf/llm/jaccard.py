@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, narrow, written
+from .common import documents, free_name, narrow, written
 from .textvec import Words, column_bytes, distinct_sorted, gram_sets, mix, slices
 
 N, THRESHOLD, RECALL, MAX_HASHES = 3, 0.5, 0.99, 128
@@ -145,7 +145,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     block = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
     work = written(placed.join(size, "hub").select("a", "b", F.struct("hub", block("a").alias("i"), block("b").alias("j")).alias("block")), "pairs")
     needed = work.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("block").alias("blocks"))
-    texts = documents(docs).withColumn("text", F.lower("text")).join(narrow(written(needed, "needed")), "doc_id").select("doc_id", "blocks", "text")
+    texts = documents(docs).withColumn("text", F.lower("text")).join(narrow(written(needed, "needed"), 2 + 3 * F.size("blocks")), "doc_id").select("doc_id", "blocks", "text")
     kind = "ARRAY<STRUCT<hub: BIGINT, i: INT, j: INT>>"
     sets = texts.mapInArrow(_sets(n), f"doc_id BIGINT, blocks {kind}, grams BINARY").select(F.explode("blocks").alias("block"), "doc_id", "grams")
     # Blocks share Spark groups, for far fewer calls; all rows of a block are in one group.
@@ -193,14 +193,16 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     doc_id one stays, that of least text.
     """
     copies, pairs = similar(docs, n, threshold, recall)
-    gone = components(pairs.unionByName(copies)).select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(narrow(written(gone, "gone")), F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    name = free_name(docs, "_gone")
+    gone = components(pairs.unionByName(copies)).select(F.col("doc_id").alias(name))
+    kept = docs.join(narrow(written(gone, "gone")), F.col("doc_id").cast("bigint") == F.col(name), "left_anti")
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
     again = written(again, "again")
     if again.isEmpty():
         return kept
     side = narrow(again)
-    once = kept.join(side, F.col("doc_id") == F.col("_again"), "left_anti")
-    twice = kept.join(side, F.col("doc_id") == F.col("_again"), "left_semi")
-    ranked = twice.groupBy("doc_id").agg(F.min(F.struct(F.col("text"), F.struct(*[F.col(c) for c in docs.columns]))).alias("_row"))
-    return once.unionByName(ranked.select("_row.col2.*"))
+    once = kept.join(side, F.col("doc_id") == F.col(name), "left_anti")
+    twice = kept.join(side, F.col("doc_id") == F.col(name), "left_semi")
+    ordered = [F.col(c) for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    least = twice.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text"), *ordered)).alias("row"))
+    return once.unionByName(least.select("row.*"))
