@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import documents, narrow, written
+from .common import documents, free_name, narrow, written
 from .textvec import _CODES, Words, column_bytes, mix, slices
 
 BITS, WINDOW, MIN_BYTES = 5, 16, 96
@@ -97,8 +97,9 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 def without_repeats(docs: DataFrame, bits: int = BITS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with the repeated passages cut from text; all columns stay."""
-    spans = repeated(docs, bits, min_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_bytes")).alias("_spans")).withColumnRenamed("doc_id", "_of")
-    joined = docs.join(narrow(written(spans, "spans")), F.col("doc_id").cast("bigint") == F.col("_of"), "left")
+    of, cuts = free_name(docs, "_of"), free_name(docs, "_spans")
+    spans = repeated(docs, bits, min_bytes).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start", "n_bytes")).alias(cuts))
+    joined = docs.join(narrow(written(spans, "spans"), 2 + 2 * F.size(cuts)), F.col("doc_id").cast("bigint") == F.col(of), "left")
     # The CASE isn't left to guard the UDF, which Spark evaluates for all rows: no spans give the text itself.
-    cut = _without(F.coalesce(F.col("text"), F.lit("")), F.coalesce("_spans", F.array().cast("array<struct<start: int, n_bytes: int>>")))
-    return joined.withColumn("text", F.when(F.col("_of").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    cut = _without(F.coalesce(F.col("text"), F.lit("")), F.coalesce(cuts, F.array().cast("array<struct<start: int, n_bytes: int>>")))
+    return joined.withColumn("text", F.when(F.col(of).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, narrow, written
+from .common import documents, free_name, narrow, written
 from .patterns import Lookup, anchors, pattern_words, row_grams
 from .textvec import Words, column_bytes, slices
 
@@ -168,5 +168,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id isn't contaminated, with all columns. Rows without a doc_id stay."""
-    gone = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(narrow(written(gone, "contaminated")), F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(narrow(written(gone, "contaminated")), F.col("doc_id").cast("bigint") == F.col(name), "left_anti")
