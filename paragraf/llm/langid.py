@@ -29,6 +29,8 @@ from .common import bounded_sample, documents
 from .textvec import column_bytes, slices
 
 SIZES, BUCKET_BITS, DIM, SAMPLE_ROWS, REJECT = (2, 3, 4), 15, 16, 3000, 0.002
+#: Steps that training takes at least; few rows go through more epochs.
+STEPS = 6000
 BUCKETS = len(SIZES) << BUCKET_BITS
 _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -99,6 +101,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed:
     compact = [(y, *(lambda u, c: (u, (c / c.sum()).astype(np.float32)))(*np.unique(b, return_counts=True))) for y, b in fit]
     emb = (rng.randn(BUCKETS, DIM) * 0.1).astype(np.float32)
     out, bias = (rng.randn(DIM, len(langs)) * 0.1).astype(np.float32), np.zeros(len(langs), np.float32)
+    epochs = max(epochs, -(-STEPS // max(1, len(compact))))
     steps, k = max(1, epochs * len(compact)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(compact)):

@@ -110,7 +110,7 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, see
     p, u = np.hstack([p, np.ones((len(p), 1), p.dtype)]), np.hstack([u, np.ones((len(u), 1), u.dtype)])
     w, m, v = np.zeros(dim), np.zeros(dim), np.zeros(dim)
     batches = max(1, len(u) // 256)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-20 * epochs // batches))):  # few rows go through more epochs
         for ub in np.array_split(rng.permutation(len(u)), batches):
             xp, xu = p[rng.randint(0, len(p), min(len(p), len(ub)))], u[ub]
             if prior is None:
