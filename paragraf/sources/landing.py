@@ -65,10 +65,10 @@ def first_xml(raw: bytes | None) -> bytes | None:
         return None
 
 
-@F.pandas_udf(BinaryType())
-def _unzipped(raw: pd.Series) -> pd.Series:
-    return pd.Series([first_xml(bytes(x) if x is not None else None) for x in raw], dtype=object)
-
-
 def unzipped(raw: Column | str) -> Column:
-    return _unzipped(F.col(raw) if isinstance(raw, str) else raw)
+    # Made here and not in the module, which replay() takes to the executors: a used function can't travel.
+    @F.pandas_udf(BinaryType())
+    def each(column: pd.Series) -> pd.Series:
+        return pd.Series([first_xml(bytes(x) if x is not None else None) for x in column], dtype=object)
+
+    return each(F.col(raw) if isinstance(raw, str) else raw)
