@@ -1,8 +1,18 @@
 """Secret scans by a character convolutional network over candidates and their context.
 
-Candidates are found exhaustively in the whole text: values assigned to a name (name = value, name: "value") of 6
-characters or more, runs of 16 or more characters of the base64 alphabet, _ - and . that hold a digit (or 8 capitals,
-two of them side by side), and private key blocks. The network reads BEFORE characters, the whole candidate and AFTER characters: WIDTH characters at a time
+Candidates overlap, and each is judged for itself:
+- values assigned to a name by = : := => == and the like, blanks around them or not, of 6 characters or more. A quoted
+  value runs to its closing quote on the line. An unquoted one runs to a blank, quote or angle bracket; it is taken up
+  to its first comma or semicolon and also beyond it, up to the next name= or name: after & , or ;, and without symbols at
+  its end if 6 characters are left. One of more than LONG characters ends at the next sign, so that long lists of
+  assignments cost no square. Names in URLs and after other values count like any other;
+- what stands between user: and @host, with a scheme or without, and what follows Bearer, Basic or Token;
+- runs of 16 or more characters of the base64 alphabet, _ - and . that hold a digit (or 8 capitals, two of them side
+  by side), and private key blocks.
+Not candidates: values under 6 characters, values that no sign assigns (password hunter22, XML elements), quoted values
+over several lines, and unquoted ones after a line break.
+
+The network reads BEFORE characters, the whole candidate and AFTER characters: WIDTH characters at a time
 go through FILTERS filters, whose greatest value in each of the three parts and mean in the candidate go through
 HIDDEN units to one logit. It is written and trained in numpy, on the labelled findings of findings().
 
@@ -28,9 +38,16 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-BEFORE, AFTER, WIDTH, FILTERS, HIDDEN, RECALL, FINDINGS = 32, 12, 5, 40, 32, 0.995, 12000
+BEFORE, AFTER, WIDTH, FILTERS, HIDDEN, RECALL, FINDINGS, LONG = 32, 12, 5, 40, 32, 0.995, 16000, 512
 KINDS = ("assigned", "opaque", "block")
-_ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]{0,60}[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"'`]?([^\s\"'`<>,;]{6,})")
+_SIGN = re.compile(r"[?+!]?(?::+=?|=+>?)")
+_QUOTE = re.compile(r"""[ \t]*(?:\\?\r?\n[ \t]*)?(\\*["'`])""")
+_BARE = re.compile(r"""[^\s"'`<>]+""")
+_NEXT = re.compile(r"[&,;](?:amp;)?[A-Za-z_][A-Za-z0-9_.\-\[\]]*[=:]")
+_SCHEME = re.compile(r"(?i)(?:Bearer|Basic|Token)[ \t]+(?=\S)")
+_USERINFO = re.compile(r"""://[^\s/@:"'`<>]*:([^\s"'`<>/]{6,})@""")
+_AUTHORITY = re.compile(r"""//[^\s/@:"'`<>]*:\Z""")
+_HOST = re.compile(r"[A-Za-z0-9\[]")
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_.\-]{16,}={0,2}")
 _CAPITALS = re.compile("[A-Z][A-Z]")
 _BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----)?")
@@ -40,6 +57,76 @@ SYMBOLS = 98
 _CODE = np.array([97 if b >= 128 else 1 if b in (9, 10, 13) else b - 30 if 32 <= b < 127 else 1 for b in range(256)], np.int64)
 
 
+def _named(text: str, at: int) -> bool:
+    """Whether a name ends at that place, blanks, quotes and brackets aside."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    while at and text[at - 1] in "\"'`\\])}":
+        at -= 1
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_.-"):
+        at -= 1
+        if text[at].isalpha() or text[at] == "_":
+            return True
+    return False
+
+
+def _closing(text: str, at: int, quote: str) -> int:
+    """Where the value that begins there ends with that quote on its line; -1 if it doesn't."""
+    k = text.find(quote, at)
+    while k >= 0 and "\n" not in text[at:k]:
+        back = k
+        while len(quote) == 1 and back > at and text[back - 1] == "\\":
+            back -= 1
+        if (k - back) % 2 == 0:
+            return k
+        k = text.find(quote, k + 1)
+    return -1
+
+
+def _values(text: str, at: int, colon: bool) -> Iterator[tuple[int, int]]:
+    """Spans of what may be the value after the sign that ends there."""
+    if m := _QUOTE.match(text, at):
+        quote, a = m[1], m.end()
+        if len(quote) == 1 and text.startswith(2 * quote, a):  # three of them
+            quote, a = 3 * quote, a + 2
+        if (b := _closing(text, a, quote)) >= 0:
+            yield a, b
+            if s := _SCHEME.match(text, a, b):
+                yield s.end(), b
+            return
+        start = a
+    else:
+        start = at
+        while text[start : start + 1] in (" ", "\t"):
+            start += 1
+    if colon and text.startswith("//", start):  # the scheme of a URL, whose parts are candidates
+        return
+    if s := _SCHEME.match(text, start):
+        start = s.end()
+    if not (m := _BARE.match(text, start, start + LONG + 1)):
+        return
+    a, b = m.span()
+    if b - a > LONG and not (n := _SIGN.search(text, a, b)):
+        b = _BARE.match(text, start).end()
+        n = _SIGN.search(text, a, b)
+    elif b - a <= LONG:
+        n = _NEXT.search(text, a, b)
+    if n:
+        b = n.start()
+    host = text.rfind("@", a, b)
+    if colon and start == at and host > a and _HOST.match(text, host + 1):  # user:password@host
+        yield a, host
+        if _AUTHORITY.search(text, max(0, at - 80), at):
+            return
+    first = next((k for k in range(a, b) if text[k] in ",;"), b)
+    for end in {first, b}:
+        least = end
+        while least > a and text[least - 1] in ".!*%$#&),;":
+            least -= 1
+        if end - a >= 6:
+            yield a, least if least - a >= 6 else end
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of every candidate, by start."""
     found = {}
@@ -50,12 +137,13 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         run = text[a:b]
         if b - a >= 16 and (any(c.isdigit() for c in run) or sum(c.isupper() for c in run) >= 8 and _CAPITALS.search(run)):
             found[a, b] = 1
-    for m in _ASSIGNED.finditer(text):
-        a, b = m.span(1)
-        while b > a and text[b - 1] in ".!*%$#&)":
-            b -= 1
-        if b - a >= 6:
-            found[a, b] = 0
+    for m in _SIGN.finditer(text):
+        if _named(text, m.start()):
+            for a, b in _values(text, m.end(), m[0] == ":"):
+                if b - a >= 6:
+                    found[a, b] = 0
+    for m in _USERINFO.finditer(text):
+        found[m.span(1)] = 0
     for m in _BLOCK.finditer(text):
         found[m.span()] = 2
     return sorted((k, a, b) for (a, b), k in found.items())
@@ -138,7 +226,23 @@ class Model:
 
 
 def findings(n: int = FINDINGS, seed: int = 23) -> list[tuple[str, int, int, int, int]]:
-    """Labelled findings (text, kind, start, end, secret 0/1): texts made of public key formats, and look-alikes."""
+    """Labelled findings (text, kind, start, end, secret 0/1): the candidates at what planted() plants. A candidate of which a secret is less than half is left out; one that runs on to the @host is none; an opaque part of an assigned secret, which is judged whole, is left out too."""
+    out: list[tuple[str, int, int, int, int]] = []
+    for text, start, end, label in planted(seed):
+        every = candidates(text)
+        for k, a, b in every:
+            if label and k == 1 and any(j == 0 and u <= a and b <= v for j, u, v in every):
+                continue
+            shared = min(b, end) - max(a, start)
+            if shared > 0 and (not label or 2 * shared >= b - a):
+                out.append((text, k, a, b, int(label and not (b > end and text[end] == "@"))))
+        if len(out) >= n:
+            return out[:n]
+    return out
+
+
+def planted(seed: int) -> Iterator[tuple[str, int, int, int]]:
+    """(text, start, end, secret 0/1) without end: texts made of public key formats, passwords and look-alikes, and where they stand, whether a candidate or not."""
     r = np.random.RandomState(seed)
     pick = lambda xs: xs[r.randint(len(xs))]
     chars = lambda alphabet, k: "".join(alphabet[i] for i in r.randint(0, len(alphabet), k))
@@ -150,6 +254,7 @@ def findings(n: int = FINDINGS, seed: int = 23) -> list[tuple[str, int, int, int
     prose = lambda k: " ".join(word() + pick(["", "", "", ",", ".", ".\n"]) for _ in range(k))
     names = ["token", "token", "token", "token", "secret", "secret", "secret", "password", "password", "password", "api_key", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "secret_key", "client_secret", "auth_token", "access_token", "private_key", "DB_PASSWORD", "SECRET_KEY", "aws_secret_access_key", "credential", "passphrase", "bearer_token", "Authorization", "key"]
     plain = ["sha256", "md5", "checksum", "etag", "commit", "digest", "hash", "id", "uuid", "version", "url", "path", "image", "color", "width", "phone", "order", "date", "isbn", "file", "name", "title", "ref", "build", "size", "author", "email", "time", "location"]
+    passwords = ["password", "passwd", "pwd", "passphrase", "DB_PASSWORD", "Password"]
     between = ["=", " = ", ": ", ":", " := ", " => "]
     noise = ["", "", "", "", "***", "!!", "%%%", "$$$", "###", "&&&", ".", ","]
 
@@ -160,7 +265,7 @@ def findings(n: int = FINDINGS, seed: int = 23) -> list[tuple[str, int, int, int
         return pick([lambda: pick(["AKIA", "AKIA", "ASIA"]) + chars(up + dig, 16), lambda: pick(["ghp_", "gho_", "ghs_"]) + chars(alnum, 36), lambda: f"xox{pick('bpas')}-{chars(dig, 11)}-{chars(dig, 12)}-{chars(alnum, 24)}", lambda: pick(["sk_live_", "rk_live_", "sk-"]) + chars(alnum, pick([24, 32, 48])), lambda: "AIza" + chars(alnum + "_-", 35), lambda: "eyJhbGciOi" + chars(alnum, 20) + "." + chars(alnum + "_-", 60) + "." + chars(alnum + "_-", 43), lambda: "glpat-" + chars(alnum, 20), lambda: "npm_" + chars(alnum, 36)])()
 
     def password() -> str:
-        return chars(alnum + "!@#%^&*_-", r.randint(6, 20)) if r.rand() < 0.6 else pick([word() + chars(dig, r.randint(2, 6)), word().title() + chars("!@#_", 1) + chars(dig, 3) + word(), hexa(r.randint(6, 24)), chars(alnum, r.randint(6, 16))])
+        return chars(alnum + "!@#%^&*_-", r.randint(6, 20)) if r.rand() < 0.5 else pick([word() + chars(dig, r.randint(2, 6)), word().title() + chars("!@#_", 1) + chars(dig, 3) + word(), hexa(r.randint(6, 24)), chars(alnum, r.randint(6, 16))])
 
     def harmless() -> str:
         return pick([lambda: chars(dig, 16), lambda: chars(dig, 16), lambda: word().upper() + word().upper() + word().upper() + word().upper(), lambda: chars(dig, r.randint(16, 24)), lambda: f"{chars(dig, 4)}-{chars(dig, 4)}-{chars(dig, 4)}-{chars(dig, 4)}", lambda: f"20{chars(dig, 2)}-0{chars('123456789', 1)}-1{chars(dig, 1)}T1{chars(dig, 1)}.30.00", lambda: f"{hexa(8)}-{hexa(4)}-4{hexa(3)}-a{hexa(3)}-{hexa(12)}", lambda: f"/{word()}/{word()}/{word()}{chars(dig, 2)}.html", lambda: f"{word()}_{word()}_{word()}_{chars(dig, 2)}", lambda: f"www.{word()}{word()}{chars(dig, 1)}.example.com", lambda: f"{word()}-{word()}-{word()}-{word()}-{chars(dig, 3)}", lambda: f"{word()}{word()}{word()}{chars(dig, 1)}"])()
@@ -168,15 +273,14 @@ def findings(n: int = FINDINGS, seed: int = 23) -> list[tuple[str, int, int, int
     def value() -> str:
         return pick([lambda: word() + word(), lambda: word() + word() + ",", lambda: "********", lambda: "xxxxxxxx", lambda: "${" + word().upper() + "}", lambda: "YOUR_API_KEY", lambda: "<" + word() + ">" if False else "required", lambda: "undefined", lambda: "os.environ", lambda: "getenv(" + word() + ")", lambda: "optional"])()
 
-    out: list[tuple[str, int, int, int, int]] = []
-    while len(out) < n:
+    while True:
         quote, before, after = pick(["", "", '"', '"', "'"]), prose(r.randint(0, 9)), prose(r.randint(0, 5))
         case, tail = r.rand(), pick(noise)
-        kind = r.randint(0, 11)
+        kind, ahead, behind = r.randint(0, 16), "", ""
         if kind < 2:
             name, body, label = pick(names), opaque(), 1
         elif kind == 2:
-            name, body, label = pick(["password", "passwd", "pwd", "passphrase", "DB_PASSWORD", "Password"]), password(), 1
+            name, body, label = pick(passwords), password(), 1
         elif kind == 3:
             name, body, label = (pick(names) if r.rand() < 0.3 else None), vendor(), 1
         elif kind == 4 and r.rand() < 0.3:
@@ -191,17 +295,38 @@ def findings(n: int = FINDINGS, seed: int = 23) -> list[tuple[str, int, int, int
             name, body, label = pick(plain), pick([lambda: word() + word(), lambda: chars(dig, r.randint(6, 12)), lambda: f"https://{word()}.example.com/{word()}", lambda: f"{word()}@{word()}.example.com"])(), 0
         elif kind == 9:
             name, body, label = word(), pick([lambda: word() + word(), harmless])(), 0
+        elif kind == 11:
+            quote, name, label = pick(['"', "'", "`"]), pick(passwords), 1
+            body = pick([lambda: chars(alnum, r.randint(3, 9)) + chars("!.*%$#&)", r.randint(1, 4)), lambda: chars(alnum, r.randint(1, 5)) + pick([",", ";", ",", "<", ">"]) + chars(alnum, r.randint(5, 10)), password])()
+            body += chars(dig, max(0, 6 - len(body)))
+        elif kind == 12:
+            quote, name, body, label = pick(['"', "'"]), pick(passwords), " ".join(word() + word() for _ in range(r.randint(3, 6))), 1
+        elif kind == 13:
+            secret = r.rand() < 0.6
+            quote, name, body, label = "", *((pick(passwords + names), pick([password, opaque])(), 1) if secret else (pick(plain), pick([lambda: word() + word(), harmless, lambda: chars(dig, r.randint(6, 12))])(), 0))
+            body = re.sub("[&#]", "x", body)
+            ahead, behind, tail = f"https://{word()}.example.com/{word()}?" + pick(["", f"{pick(plain)}={word()}&", f"user={word()}&"]), pick(["", f"&{pick(plain)}={word()}"]), ""
+        elif kind == 14:
+            quote, name, body, label = "", None, re.sub("[@/]", "x", password()), 1
+            ahead, behind = pick(["postgres://", "mysql://", "https://", "redis://", "amqp://", "mongodb://", "ftp://", "-u "]) + pick([word(), word() + word(), "root", "admin", "app"]) + ":", "@" + pick(["db", "localhost", word() + ".example.com"]) + pick(["", ":5432/" + word(), "/" + word()])
+        elif kind == 15 and r.rand() < 0.4:
+            quote, name, body, label = "", pick(["Authorization", "authorization", "Proxy-Authorization", "auth"]), pick([opaque, vendor, lambda: chars(alnum, r.randint(8, 16))])(), 1
+            behind, ahead = "", ""
+            name += pick([": ", "=", ": "]) + pick(["Bearer ", "Basic ", "Token "])
+        elif kind == 15:
+            quote, name = pick(['"', '"', "'"]), pick(plain + [word()] * len(plain))
+            body, label = prose(r.randint(2, 12)).replace("\n", ""), 0
+            if r.rand() < 0.3:
+                quote, name = "", None
+                ahead, body = pick([("mailto:", f"{word()}.{word()}{word()}@{word()}.example.com"), (f"https://{word()}.example.com:", chars(dig, 4) + "/" + word() + word()), (f"http://{word()}:", chars(dig, 5) + "/" + word())])
         else:
             name, body, label = None, pick(plain) + " " + hexa(pick([40, 64])) if r.rand() < 0.4 else harmless(), 0
-        lead = "" if name is None else name + (pick(between) if not quote else pick(["=", " = ", ": "]))
-        text = f"{before} {lead}{quote}{body}{quote}{tail} {after}"
+        lead = ahead + ("" if name is None else name if name[-1] == " " else name + ("=" if ahead else pick(between + ["   =   "]) if not quote else pick(["=", " = ", ": ", "    =  "])))
+        text = f"{before} {lead}{quote}{body}{quote}{behind}{tail} {after}"
         if case < 0.12 and "BEGIN" not in body and not (label and name is None):
             text = text.upper()
         at = len(before) + 1 + len(lead) + len(quote)
-        for k, a, b in candidates(text):
-            if a < at + len(body) and b > at:
-                out.append((text, k, a, b, label))
-    return out[:n]
+        yield text, at, at + len(body), label
 
 
 def train(labelled: list[tuple[str, int, int, int, int]], epochs: int = 10, seed: int = 11) -> Model:

@@ -4,6 +4,7 @@ Edge cases are the same for all that read documents: EDGES holds nulls in every
 repeated rows and columns with clashing names.
 """
 
+import itertools
 import random
 import re
 
@@ -154,6 +155,22 @@ def test_secret_scan_and_redaction(spark, edges, empty, scanner):
     assert secretscan.scan(empty, scanner).count() == 0
 
 
+def test_secret_values_are_candidates_whole():
+    cases = [('password = "Pass1!"', "Pass1!"), ('password = "abc12!!!"', "abc12!!!"), ("password = Pass1! ", "Pass1!"), ('password: "Tr,9kd82xQ"', "Tr,9kd82xQ"), ("password: Tr,9kd82xQ ", "Tr,9kd82xQ"), ('pwd = "hunter22,xyz9!"', "hunter22,xyz9!"), ('passphrase = "correct horse battery staple"', "correct horse battery staple")]
+    cases += [("https://h/?user=bob&password=hunter22&x=1", "hunter22"), ("postgres://app:hunter22@db", "hunter22"), ("redis://:hunter22@h:1/0", "hunter22"), ("-u app:hunter22@db", "hunter22"), ("password        =        hunter22", "hunter22"), ('{\\"password\\": \\"hunter 22\\"}', "hunter 22"), ("pw='it\\'s me'", "it\\'s me"), ("Authorization: Bearer abc123xyz", "abc123xyz"), ("password:p7#kHb*@9OpOin", "p7#kHb*@9OpOin")]
+    for text, secret in cases:
+        assert secret in [text[a:b] for _, a, b in secretscan.candidates(text)], text
+    assert sum(b - a for _, a, b in secretscan.candidates("a=a=" * 20_000)) < 200_000
+
+
+def test_secret_recall_on_planted_spans(scanner):
+    rows = list(itertools.islice(secretscan.planted(99), 2000))
+    found = secretscan._found(scanner, [t for t, *_ in rows])
+    whole = [any(u <= a and b <= v for u, v, *_ in f) for (_, a, b, _), f in zip(rows, found)]
+    truth = np.array([y for *_, y in rows]) > 0
+    assert np.array(whole)[truth].mean() > 0.95 and np.array([bool(f) for f in found])[~truth].mean() < 0.1
+
+
 # 4
 
 
