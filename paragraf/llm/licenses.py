@@ -7,8 +7,9 @@ bigrams that the window has must be at least THRESHOLD. bands() gives the number
 passes, even the most diluted one, is retrieved with probability RECALL. Windows that hold none of a template's
 anchors (patterns.py) cannot pass and are not looked at.
 
-Licenses whose templates have that share of each other's bigrams (versions of one license) are rivals: of rivals,
-those of greatest containment in the document are reported.
+Licenses of which one template has that share of another's bigrams (versions of one license, or one that the other
+goes on from) are rivals: of rivals, those of greatest containment in the document are reported. "BSD" is the head
+that all BSD licenses have; where their clauses follow, it is reported beside the license that they make.
 
 Null and empty texts hold no license. A doc_id that repeats is reported once per license, with its best window.
 """
@@ -28,6 +29,36 @@ from .textvec import Words, column_bytes, slices
 
 N, THRESHOLD, RECALL = 2, 0.8, 0.999
 
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_FREE = "{} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version"
+
+
+def _bsd(first: str, second: str, third: str) -> str:
+    clauses = f"{first} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {second} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    return f"{_BSD_HEAD}: {clauses} {third} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"
+
+
+_NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: License -> the names by which short notices grant it.
+_NAMES = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License Version 2.0", "Apache License 2.0"],
+    "GPL-2.0": ["GNU General Public License version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL v2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License version 3", "GNU Lesser General Public License v3.0", "GNU LGPL v3", "LGPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3", "AGPLv3"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "ISC": ["ISC License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License Version 2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0"],
+    "BSL-1.0": ["Boost Software License 1.0", "Boost Software License Version 1.0"],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"],
+    "Unlicense": ["Unlicense License"],
+}
+_CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
 #: (license, template): the notices by which the licenses are commonly granted.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -38,12 +69,28 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", _BSD_HEAD),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("proprietary", "All rights reserved"),
+    ("GPL-2.0", _FREE.format("This program", "General Public License", "2")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("LGPL-2.0", _FREE.format("This library", "Library General Public License", "2")),
+    ("LGPL-2.1", _FREE.format("This library", "Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _FREE.format("This program", "Lesser General Public License", "3")),
+    ("AGPL-3.0", _FREE.format("This program", "Affero General Public License", "3")),
+    *(("BSD-2-Clause", _bsd(*marks, "")) for marks in (("", ""), ("1.", "2."))),
+    *(("BSD-3-Clause", _bsd(*marks, _NEITHER)) for marks in (("", ""), ("1.", "2."))),
+    ("BSD-3-Clause", _bsd("1.", "2.", "3. " + _NEITHER)),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS"),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    *((license, start + name) for license, names in _NAMES.items() for name in names for start in ("Licensed under the ", "Released under the ", "Licensed under ")),
+    *((f"CC-{k}-{v}", text) for v in ("4.0", "3.0") for k, name in _CREATIVE.items() for text in (f"Licensed under CC {k} {v}", f"Licensed under a Creative Commons {name} {v} {'International' if v == '4.0' else 'Unported'} License", f"SPDX-License-Identifier: CC-{k}-{v}")),
+    *((license, f"SPDX-License-Identifier: {license}") for license in [*_NAMES, "LGPL-2.0", "0BSD"]),
 ]
 
 
@@ -110,7 +157,7 @@ def families(classes: list[Class], threshold: float) -> dict[str, str]:
     for x, g in every:
         for y, h in every:
             both = np.isin(g, h).sum()
-            if both >= threshold * max(len(g), len(h)) and root[x] != root[y]:
+            if both >= threshold * min(len(g), len(h)) and root[x] != root[y]:
                 least, old = sorted((root[x], root[y]))
                 root = {k: least if v == old else v for k, v in root.items()}
     return root

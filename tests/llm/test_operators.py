@@ -449,6 +449,21 @@ def test_licenses(spark, edges, empty):
     assert licenses.license_scan(edges).count() == 0 and licenses.license_scan(empty).count() == 0
 
 
+def test_licenses_are_told_apart(spark):
+    free = "is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [("Licensed under the MIT License", "MIT"), ("SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0")]
+    cases += [("Licensed under CC BY 4.0", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-SA 3.0", "CC-BY-SA-3.0")]
+    cases += [("This program " + free.format("General Public License", 2), "GPL-2.0"), ("This library " + free.format("Lesser General Public License", 2.1), "LGPL-2.1"), ("This program " + free.format("Affero General Public License", 3), "AGPL-3.0"), ("This program " + free.format("General Public License", 3), "GPL-3.0")]
+    cases += [(t, license) for license, t in licenses.TEMPLATES if license != "BSD"]
+    found = {}
+    for r in licenses.license_scan(made(spark, [(d, f"{prose(d, 50)}\n{t}\n{prose(d + 1, 50)}") for d, (t, _) in enumerate(cases)])).collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    wrong = {t: found.get(d) for d, (t, license) in enumerate(cases) if found.get(d, set()) - ({"BSD"} if "Redistribution" in t else set()) != {license}}
+    assert not wrong
+    rivals = licenses.families(licenses.index(licenses.TEMPLATES, 2, 0.8, 0.999), 0.8)
+    assert len({rivals[x] for x in ("MIT", "Apache-2.0", "MPL-2.0", "EPL-2.0", "ISC", "GPL-2.0", "BSD", "CC-BY-4.0", "CC-BY-3.0", "CC0-1.0")}) == 10
+
+
 def test_license_bands_retrieve():
     for grams, size in ((3, 8), (12, 32), (45, 128)):
         n = licenses.bands(grams, size, 0.8, 0.999)
