@@ -127,14 +127,16 @@ SELECT vec_a, vec_b, round(max(cosine), 6) AS cosine FROM (
 """
 
 _OP9 = rf"""
-WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-sets AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) END)) AS g FROM w WHERE len(w) > 0),
-reps AS (SELECT min(doc_id) AS rep, g FROM sets GROUP BY g),
-copies AS (SELECT rep AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard, true AS copy FROM sets JOIN reps USING (g) WHERE doc_id <> rep),
-flat AS (SELECT rep, len(g) AS n, unnest(g) AS gram FROM reps),
-met AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM flat a JOIN flat b ON a.gram = b.gram AND a.rep < b.rep GROUP BY ALL)
-SELECT doc_a, doc_b, round(shared / (n_a + n_b - shared), 6) AS jaccard, false AS copy FROM met WHERE shared >= 0.5 * (n_a + n_b - shared)
-UNION ALL SELECT doc_a, doc_b, jaccard, copy FROM copies
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL)),
+members AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) END)) AS g, len(w) = 0 AS bare FROM w),
+sets AS (SELECT row_number() OVER (ORDER BY min(doc_id), g) AS s, min(doc_id) AS least, g, count(*) AS copies FROM members WHERE NOT bare GROUP BY g),
+flat AS (SELECT s, copies, len(g) AS n, unnest(g) AS gram FROM sets),
+met AS (SELECT a.s AS s, b.s AS t, any_value(a.n) AS n_s, any_value(b.n) AS n_t, any_value(b.copies) AS copies, count(*) AS shared FROM flat a JOIN flat b ON a.gram = b.gram AND a.s <> b.s GROUP BY a.s, b.s),
+links AS (SELECT s, t, copies FROM met WHERE shared >= 0.5 * (n_s + n_t - shared)),
+reach AS (SELECT s, t FROM links UNION SELECT r.s, l.t FROM reach r JOIN links l ON r.t = l.s),
+roots AS (SELECT s, min(t) AS root FROM reach GROUP BY s),
+told AS (SELECT g, s, coalesce((SELECT least FROM sets x WHERE x.s = least(root, y.s)), least) AS class_id, copies - 1 + coalesce((SELECT sum(copies) FROM links WHERE links.s = y.s), 0) AS n_links FROM sets y LEFT JOIN roots USING (s))
+SELECT doc_id, CAST(coalesce(class_id, doc_id) AS BIGINT) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM members m LEFT JOIN told ON told.g = m.g AND NOT m.bare
 """
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paragraf.llm import chunks, decontam, embeddings, jaccard, langid, licenses, packing, quality, quotes, secretscan
+from paragraf.llm import chunks, decontam, embeddings, jaccard, langid, licenses, links, packing, quality, quotes, secretscan
 from paragraf.llm.common import BROADCAST_ROWS, bounded_sample, narrow
 
 SMALL = "/root/testdata/sf0.001"
@@ -372,19 +372,27 @@ def gram_set(t):
 
 
 def brute_jaccard(texts, threshold=jaccard.THRESHOLD):
-    sets = {d: gram_set(t) for d, t in texts if gram_set(t)}
-    reps, copies, pairs = {}, {}, {}
-    for d in sorted(sets):
-        rep = reps.setdefault(frozenset(sets[d]), d)
-        if rep != d:
-            copies[rep, d] = 1.0
-    ids = sorted(reps.values())
+    """doc_id -> (class, links) by comparing all with all."""
+    sets, links = {d: gram_set(t) for d, t in texts}, {d: 0 for d, _ in texts}
+    edges, ids = [], sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if j >= threshold:
-                pairs[a, b] = round(j, 6)
-    return copies, pairs
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                edges.append((a, b))
+    for a, b in edges:
+        links[a] += 1
+        links[b] += 1
+    root = brute_roots(ids, edges)
+    return {d: (root[d], links[d]) for d in ids}
+
+
+def brute_roots(ids, edges):
+    root, old = {d: d for d in ids}, None
+    while root != old:
+        old = dict(root)
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
 
 
 def near_copies():
@@ -398,15 +406,34 @@ def near_copies():
     return texts
 
 
-def test_jaccard_against_brute_force(spark):
-    texts = near_copies()
-    rows = jaccard.jaccard_join(made(spark, texts)).collect()
-    copies, pairs = brute_jaccard(texts)
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in rows if r["copy"]} == copies
-    found = {(r.doc_a, r.doc_b): r.jaccard for r in rows if not r["copy"]}
-    assert len(found) >= 0.97 * len(pairs) and len(pairs) > 100 and all(found[k] == pairs[k] for k in found)
+@pytest.mark.parametrize("block", [4, jaccard.BLOCK])
+def test_jaccard_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard.linked, "__defaults__", (*jaccard.linked.__defaults__[:3], block))
+    texts = near_copies() + [(200, prose(3, 60)), (201, prose(3, 60)), (202, ""), (203, "...")]
+    rows = jaccard.jaccard_join(made(spark, texts + texts[40:60])).collect()
+    found, want = {r.doc_id: (r.class_id, r.n_links) for r in rows}, brute_jaccard(texts)
+    assert len(rows) == len(texts) and set(found) == set(want)
+    n, m = sum(x for _, x in found.values()), sum(x for _, x in want.values())
+    assert 0.98 * m <= n <= m and m > 1000 and all(found[d][1] <= want[d][1] for d in want)
+    assert sum(found[d][0] == want[d][0] for d in want) >= 0.98 * len(want)
     kept = {r.doc_id for r in jaccard.keep_one(made(spark, texts)).collect()}
-    assert kept == set(range(40))
+    assert kept == {d for d, (c, _) in found.items() if c == d}
+
+
+def test_jaccard_of_repeated_ids(spark):
+    texts = [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(2, 60)), (2, prose(2, 60)), (3, prose(2, 60)), (3, None), (3, None), (4, prose(4, 60)), (4, prose(5, 60))]
+    rows = sorted(tuple(r) for r in jaccard.jaccard_join(made(spark, texts)).collect())
+    assert rows == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 2, 1), (3, 3, 0), (4, 4, 0), (4, 4, 0)]
+    kept = sorted((r.doc_id, r.text or "") for r in jaccard.keep_one(made(spark, texts)).collect())
+    assert kept == sorted([(1, prose(1, 60)), (2, prose(2, 60)), (3, ""), (3, ""), (4, prose(4, 60)), (4, prose(5, 60))])
+
+
+def test_common_counts_what_sets_share():
+    r = np.random.RandomState(5)
+    sets = [np.unique(r.randint(0, 500, n)).astype(np.uint64) for n in (0, 1, 30, 200, 400, 7, 90)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = jaccard.common(sets, width=64)
+    assert all(got[i, j] == want[i][j] for i in range(7) for j in range(7) if i != j)
 
 
 def test_bands_meet_the_recall():
@@ -415,20 +442,20 @@ def test_bands_meet_the_recall():
         assert 1 - (1 - t**rows) ** bands >= 0.99 and bands * rows <= 256
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, links.LOCAL_EDGES])
+def test_components(spark, local):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)]
-    root = {i: i for e in edges for i in e}
-    for _ in range(400):
-        for a, b in edges:
-            root[a] = root[b] = min(root[a], root[b])
-    found = {x.doc_id: x.root for x in jaccard.components(spark.createDataFrame(edges, "doc_a BIGINT, doc_b BIGINT")).collect()}
+    root = brute_roots({i for e in edges for i in e}, edges)
+    rows = spark.createDataFrame([(a, 0, 0, b, 0, 0) for a, b in edges], "a BIGINT, ax INT, ay INT, b BIGINT, bx INT, by INT")
+    found = {x.node.id: x.root.id for x in links.components(rows.select(links.node("a", "ax", "ay").alias("u"), links.node("b", "bx", "by").alias("v")), local).collect()}
     assert found == {i: v for i, v in root.items() if i != v}
+    assert links.components(rows.where("false").select(links.node("a", "ax", "ay").alias("u"), links.node("b", "bx", "by").alias("v")), local).count() == 0
 
 
 def test_jaccard_edges(edges, empty):
-    rows = jaccard.jaccard_join(edges).collect()
-    assert [(r.doc_a, r.doc_b, r.jaccard, r["copy"]) for r in rows] == [(6, 7, 1.0, True)]
+    rows = sorted(tuple(r) for r in jaccard.jaccard_join(edges).collect())
+    assert rows == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 1), (7, 6, 1), (8, 8, 0), (9, 9, 0)]
     kept = jaccard.keep_one(edges)
     assert kept.columns == edges.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 8, 9]
     assert jaccard.jaccard_join(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
