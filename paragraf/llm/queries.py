@@ -44,6 +44,11 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def embedding_classes_040(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 at a threshold that even the smallest tables have links at."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.4)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_secrets, op4_conversations, op5_decontamination, op6_substring_dedup, op7_packing, op8_embedding_dedup, op9_jaccard_join, op10_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_secrets, op4_conversations, op5_decontamination, op6_substring_dedup, op7_packing, op8_embedding_dedup, op9_jaccard_join, op10_licenses, embedding_classes_040)}
 
 _WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -119,13 +124,16 @@ SELECT doc_id, item_id, CAST(first_word AS INTEGER) AS first_word, CAST(n_words
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first_word) = 1
 """
 
-_OP8 = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
-SELECT vec_a, vec_b, round(max(cosine), 6) AS cosine FROM (
-  SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.e, b.e) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id
-) WHERE cosine >= 0.95 GROUP BY ALL
+def _op8(threshold: float) -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL),
+links AS (SELECT a.r, b.r AS s FROM v a JOIN v b ON a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= {threshold}),
+reach AS (SELECT r, s FROM links UNION SELECT x.r, y.s FROM reach x JOIN links y ON x.s = y.r),
+roots AS (SELECT r, min(s) AS root FROM reach GROUP BY r)
+SELECT v.vec_id, coalesce(w.vec_id, v.vec_id) AS class_id, (SELECT count(*) FROM links WHERE links.r = v.r) AS n_links FROM v LEFT JOIN roots USING (r) LEFT JOIN v w ON w.r = roots.root
 """
 
+
 _OP9 = rf"""
 WITH RECURSIVE w AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL)),
 members AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) END)) AS g, len(w) = 0 AS bare FROM w),
@@ -160,4 +168,4 @@ SELECT doc_id, license, round(c, 6) AS containment, CAST(s AS INTEGER) AS window
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op4_conversations": _OP4, "op5_decontamination": _OP5, "op8_embedding_dedup": _OP8, "op9_jaccard_join": _OP9, "op10_licenses": _op10()}
+ORACLE_SQL: dict[str, str] = {"op4_conversations": _OP4, "op5_decontamination": _OP5, "op8_embedding_dedup": _op8(0.95), "embedding_classes_040": _op8(0.4), "op9_jaccard_join": _OP9, "op10_licenses": _op10()}
