@@ -3,11 +3,15 @@
 A document is its white-space separated tokens and one end token. Those over CAPACITY are cut in pieces of CAPACITY and
 a rest. Best-fit decreasing then packs counts of equal lengths and not pieces: the plan takes the histogram, of at
 most CAPACITY numbers whatever the corpus, and gives slots to ranks of a length. Each piece takes the slot of its
-rank within its length, by (doc_id, piece).
+rank within its length.
 
-Ranks are counted in shards of about SHARD_ROWS consecutive doc_ids, offset by what the shards before hold, so that
-no task sorts all pieces of a frequent length. Null and empty texts and those of white space alone have no tokens and
-take no slot; rows without a doc_id take none. Rows that repeat a doc_id are packed each.
+Tokens are counted once. The tasks that count them also number the pieces of each length as they come; the numbered
+pieces are written, and what the tasks before hold is added to their numbers. Nothing is sorted or shuffled by length or
+document, so neither a frequent length nor a frequent doc_id is a hot key. Which of two pieces of one length comes
+first follows the order of the table.
+
+Null and empty texts and those of white space alone have no tokens and take no slot; rows without a doc_id take none.
+Rows that repeat a doc_id are packed each. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -16,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, narrow, written
 
-CAPACITY, SHARD_ROWS = 2048, 200_000
+CAPACITY = 2048
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -72,29 +77,45 @@ def _slots(rows: np.ndarray):
     return each
 
 
+def _pieces(capacity: int):
+    """Of (doc_id, n): the pieces, with the task's number and the piece's own within the task and its length."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            many = (n + capacity - 1) // capacity
+            of = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            length = np.minimum(n[of] - piece * capacity, capacity)
+            order, counts = np.argsort(length, kind="stable"), np.bincount(length, minlength=capacity + 1)
+            own = np.empty(len(of), np.int64)
+            own[order] = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+            own += seen[length]
+            seen += counts
+            numbers = [piece.astype(np.int32), piece * capacity, length.astype(np.int32), np.full(len(of), part, np.int32), own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *map(pa.array, numbers)], names=["doc_id", "piece", "first_token", "n_tokens", "part", "own"])
+
+    return each
+
+
 def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, piece, first_token, n_tokens."""
+    """doc_id, piece, first_token, n_tokens, part, own."""
     total = F.regexp_count(F.col("text"), F.lit(r"[^ \t\n\r\f]+"))
-    counted = documents(docs).select("doc_id", total.alias("n")).where("n > 0").withColumn("n", F.col("n") + 1)
-    each = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
-    first = F.col("piece") * capacity
-    return each.select("doc_id", "piece", first.alias("first_token"), F.least(F.col("n") - first, F.lit(capacity)).alias("n_tokens"))
+    counted = documents(docs).select("doc_id", total.alias("n")).where("n > 0").select("doc_id", (F.col("n") + 1).alias("n"))
+    return counted.mapInArrow(_pieces(capacity), "doc_id BIGINT, piece INT, first_token BIGINT, n_tokens INT, part INT, own BIGINT")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, first_token, n_tokens, bin_id, bin_offset: where each piece goes."""
-    low, high, count = documents(docs).agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    shards = max(1, -(-count // shard_rows))
-    width = ((high - low) // shards + 1) if count else 1
-    cut = pieces(docs, capacity).withColumn("shard", F.floor((F.col("doc_id") - (low or 0)) / width))
-    counts = cut.groupBy("n_tokens", "shard").count()
+    cut = written(pieces(docs, capacity), "pieces")
+    counts = written(cut.groupBy("n_tokens", "part").agg((F.max("own") + 1).alias("count")), "counts")
     plans = plan({n: c for n, c in counts.groupBy("n_tokens").agg(F.sum("count")).collect()}, capacity)
-    schema = "doc_id BIGINT, piece INT, first_token INT, n_tokens INT, bin_id BIGINT, bin_offset INT"
+    schema = "doc_id BIGINT, piece INT, first_token BIGINT, n_tokens INT, bin_id BIGINT, bin_offset INT"
     if not len(plans):
         return docs.sparkSession.createDataFrame([], schema)
-    before = Window.partitionBy("n_tokens").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("n_tokens", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("n_tokens", "shard").orderBy("doc_id", "piece")
-    ranked = cut.withColumn("own", F.row_number().over(own)).join(offsets, ["n_tokens", "shard"])
-    rows = ranked.select("doc_id", "piece", "first_token", "n_tokens", (F.col("before") + F.col("own") - 1).alias("rank"))
+    before = Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("n_tokens", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    ranked = cut.join(narrow(offsets), ["n_tokens", "part"])
+    rows = ranked.select("doc_id", "piece", "first_token", "n_tokens", (F.col("before") + F.col("own")).alias("rank"))
     return rows.mapInArrow(_slots(plans), schema)
