@@ -7,9 +7,9 @@ over UTF-8, since the distances within which a law is looked for are counted in
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,16 +137,21 @@ def chains_of(text: str | None, default: str | None, extended: bool = False) ->
     return list(found)
 
 
-def _batched(one, kind: T.StructType, text: Column, default: Column | None) -> Column:
-    names = kind.names
+def struct_lists(rows: list[list[tuple[str, str]]], kind: T.StructType) -> pa.Array:
+    """An Arrow list of structs of two strings for each row."""
+    flat = [x for row in rows for x in row]
+    columns = [pa.array([x[k] for x in flat], pa.string()) for k in range(2)]
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names=kind.names))
+
 
-    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, defaults in batches:
-            yield pd.Series([[dict(zip(names, x)) for x in one(t, d)] if t else [] for t, d in zip(texts, defaults)], dtype=object)
+def _batched(one, kind: T.StructType, text: Column, default: Column | None) -> Column:
+    def each(texts: pa.Array, defaults: pa.Array) -> pa.Array:
+        return struct_lists([one(t, d) if t else [] for t, d in zip(texts.to_pylist(), defaults.to_pylist())], kind)
 
-    each.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    each.__annotations__ = {"texts": pa.Array, "defaults": pa.Array, "return": pa.Array}
     possible = F.when(text.rlike("§|[aA][rR][tT]"), text)
-    return F.pandas_udf(each, T.ArrayType(kind))(possible, F.coalesce(default, F.lit("")) if default is not None else F.lit(""))
+    return F.arrow_udf(each, T.ArrayType(kind))(possible, F.coalesce(default, F.lit("")) if default is not None else F.lit(""))
 
 
 def references(text: Column | str, default: Column | None = None) -> Column:

@@ -112,9 +112,17 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
+    def parse_html_declaration(self, i: int) -> int:
+        # In HTML a marked section is no more than a comment, whatever its keyword.
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
+
 def tree(markup: str) -> Node:
-    """The html node of a page; there always are a head and a body."""
+    """The html node of a page; there always are a head and a body. ValueError if the tokenizer gives up."""
     builder = _Builder()
-    builder.feed(markup)
-    builder.close()
+    try:
+        builder.feed(markup)
+        builder.close()
+    except AssertionError as e:
+        raise ValueError(f"markup that cannot be read: {e}") from e
     return builder.html

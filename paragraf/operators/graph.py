@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.text import first_non_blank, node_token, split_list, trimmed
 
 _MAP, _NODE, _EDGE = "map<string,string>", "array<struct<id:string,type:string,label:string,jurisdiction:string,metadata:map<string,string>>>", "array<struct<from:string,to:string,type:string,weight:double,metadata:map<string,string>>>"
+#: The columns that are read; others are ignored, whatever their names.
+MODEL = ("id", "title", "short_title", "jurisdiction", "type", "source_url", "sections", "metadata")
 #: Where documents say what they replace; the first that isn't blank counts.
 REPLACING = ("replaces", "ersetzt", "abloesung", "ablösung")
 
@@ -112,42 +114,50 @@ def _blank(c: Column | str) -> Column:
 def emitted(docs: DataFrame, kinds: Kinds = Kinds(), order: str = "id") -> tuple[DataFrame, DataFrame]:
     """Nodes and edges as the documents mention them, each with seq, its place in the whole."""
     d = document_node("id", "short_title", "title", "source_url", "type")
-    named = docs.select(F.col(order).alias("_o"), d.alias("_d"), *docs.columns) if "_d" not in docs.columns else docs
-    doc, place = F.col("_d"), _blank("jurisdiction")
-    fields = [F.lit("document_id"), _blank("id"), F.lit("source_url"), _blank("source_url"), F.lit("title"), _blank("title"), F.lit("short_title"), _blank("short_title")]
-    own = F.array(_node(doc, F.when(F.col("type") == "ruling", "ruling").otherwise("law"), first_non_blank("short_title", "title", doc), place, F.create_map(*fields))).cast(_NODE)
-    sections = F.coalesce(F.col("sections"), F.array().cast(docs.schema["sections"].dataType))
-    targets = F.coalesce(replaced_targets(F.coalesce("metadata", _none())), F.array().cast("array<string>"))
     refs = lambda s: F.filter(F.coalesce(s["refs"], F.array().cast("array<struct<type:string,target:string>>")), lambda r: _blank(r["target"]) != "")
     ends = lambda s: F.filter(F.coalesce(s["norm_chains"], F.array().cast("array<struct<source:string,target:string>>")), lambda c: (_blank(c["source"]) != "") & (_blank(c["target"]) != "") & (_blank(c["source"]) != _blank(c["target"])))
-    node_id = lambda s, i: section_node(doc, i, s["identifier"], s["heading"])
     label = lambda s, i: first_non_blank(s["identifier"], s["heading"], F.concat(F.lit("section-"), (i + 1).cast("string")))
-    about = lambda s: F.create_map(F.lit("document_node_id"), doc, F.lit("identifier"), _blank(s["identifier"]), F.lit("heading"), _blank(s["heading"]))
+    linked = lambda c: F.struct(external_node(c["source"]).alias("from"), _blank(c["source"]).alias("source"), external_node(c["target"]).alias("to"), _blank(c["target"]).alias("target"))
+    cited = lambda r: F.struct(reference_node(r["type"], r["target"]).alias("node"), reference_type(r["type"]).alias("kind"), F.coalesce(r["type"], F.lit("")).alias("type"), _blank(r["target"]).alias("label"))
+
+    def prepared(s: Column, i: Column) -> Column:
+        """Ids and tokens of a section, each worked out once."""
+        fields = [section_node(F.col("_d"), i, s["identifier"], s["heading"]).alias("node"), label(s, i).alias("label"), _blank(s["identifier"]).alias("identifier"), _blank(s["heading"]).alias("heading")]
+        return F.struct(*fields, *([F.transform(refs(s), cited).alias("refs")] if kinds.cites else []), *([F.transform(ends(s), linked).alias("chains")] if kinds.references else []))
+
+    targets = F.coalesce(replaced_targets(F.coalesce("metadata", _none())), F.array().cast("array<string>"))
+    sections = F.coalesce(F.col("sections"), F.array().cast(docs.schema["sections"].dataType))
+    named = docs.select(d.alias("_d"), F.col(order).alias("_o"), *[F.col(c) for c in MODEL])
+    named = named.select("_d", "_o", *[c for c in MODEL if c not in ("sections", "metadata")], targets.alias("_t"), F.transform(sections, prepared).alias("_s"))
+    doc, place = F.col("_d"), _blank("jurisdiction")
+    fields = [F.lit("document_id"), _blank("id"), F.lit("source_url"), _blank("source_url"), F.lit("title"), _blank("title"), F.lit("short_title"), _blank("short_title")]
+    own = F.array(_node(doc, F.when(F.col("type") == "ruling", "ruling").otherwise("law"), first_non_blank("short_title", "title", doc), place, F.create_map(*fields))).cast(_NODE)
 
-    def section_nodes(s: Column, i: Column) -> Column:
-        found = [F.array(_node(node_id(s, i), "paragraph", label(s, i), place, about(s))).cast(_NODE)]
+    def section_nodes(s: Column) -> Column:
+        about = F.create_map(F.lit("document_node_id"), doc, F.lit("identifier"), s["identifier"], F.lit("heading"), s["heading"])
+        found = [F.array(_node(s["node"], "paragraph", s["label"], place, about)).cast(_NODE)]
         if kinds.cites:
-            found.append(F.transform(refs(s), lambda r: _node(reference_node(r["type"], r["target"]), reference_type(r["type"]), _blank(r["target"]))).cast(_NODE))
+            found.append(F.transform(s["refs"], lambda r: _node(r["node"], r["kind"], r["label"])).cast(_NODE))
         if kinds.references:
-            found.append(F.flatten(F.transform(ends(s), lambda c: F.array(*[_node(external_node(c[x]), "paragraph", _blank(c[x])) for x in ("source", "target")]))).cast(_NODE))
+            found.append(F.flatten(F.transform(s["chains"], lambda c: F.array(_node(c["from"], "paragraph", c["source"]), _node(c["to"], "paragraph", c["target"])))).cast(_NODE))
         return F.concat(*found)
 
-    def section_edges(s: Column, i: Column) -> Column:
+    def section_edges(s: Column) -> Column:
         found = [F.array().cast(_EDGE)]
         if kinds.concretizes:
-            found.append(F.array(_edge(node_id(s, i), doc, "concretizes")).cast(_EDGE))
+            found.append(F.array(_edge(s["node"], doc, "concretizes")).cast(_EDGE))
         if kinds.cites:
-            found.append(F.transform(refs(s), lambda r: _edge(node_id(s, i), reference_node(r["type"], r["target"]), "cites", F.create_map(F.lit("reference_type"), F.coalesce(r["type"], F.lit(""))))).cast(_EDGE))
+            found.append(F.transform(s["refs"], lambda r: _edge(s["node"], r["node"], "cites", F.create_map(F.lit("reference_type"), r["type"]))).cast(_EDGE))
         if kinds.references:
-            found.append(F.transform(ends(s), lambda c: _edge(external_node(c["source"]), external_node(c["target"]), "references")).cast(_EDGE))
+            found.append(F.transform(s["chains"], lambda c: _edge(c["from"], c["to"], "references")).cast(_EDGE))
         return F.concat(*found)
 
     nodes, edges = [own], [F.array().cast(_EDGE)]
     if kinds.replaces:
-        nodes.append(F.transform(targets, lambda t: _node(external_node(t), "law", t)).cast(_NODE))
-        edges.append(F.transform(targets, lambda t: _edge(doc, external_node(t), "replaces")).cast(_EDGE))
-    nodes.append(F.flatten(F.transform(sections, section_nodes)))
-    edges.append(F.flatten(F.transform(sections, section_edges)))
+        nodes.append(F.transform("_t", lambda t: _node(external_node(t), "law", t)).cast(_NODE))
+        edges.append(F.transform("_t", lambda t: _edge(doc, external_node(t), "replaces")).cast(_EDGE))
+    nodes.append(F.flatten(F.transform("_s", section_nodes)))
+    edges.append(F.flatten(F.transform("_s", section_edges)))
     out = []
     for rows in (nodes, edges):
         each = named.select("_o", "_d", F.posexplode(F.concat(*rows)).alias("_at", "_x"))
@@ -176,16 +186,21 @@ def merged_nodes(rows: DataFrame) -> DataFrame:
     return by_name.groupBy("id").agg(*[F.coalesce(F.min(c)["x"], F.lit(blank)).alias(c) for c, blank in facts.items()], F.expr(_LAST_METADATA))
 
 
-def merged_edges(rows: DataFrame) -> DataFrame:
-    """One row for from, to and type: the sum of weights (of 0 and less: 1), the last metadata. No loops, no blank ends."""
+def merged_edges(rows: DataFrame, metadata: bool = True) -> DataFrame:
+    """One row for from, to and type: the sum of weights (of 0 and less: 1), the last metadata if asked for. No loops, no blank ends."""
     keys = ["from", "to", "type"]
     clean = rows.select(trimmed("from").alias("from"), trimmed("to").alias("to"), F.coalesce("type", F.lit("")).alias("type"), F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"), F.coalesce("metadata", _none()).alias("metadata"), "seq")
     clean = clean.where("`from` <> '' AND `to` <> '' AND `from` <> `to`")
+    if not metadata:
+        return clean.groupBy(*keys).agg(F.sum("weight").alias("weight"), _none().alias("metadata"))
     by_name = _by_entry(clean).groupBy(*keys, "k").agg(F.max_by("v", "seq").alias("v"), F.sum(F.when(F.col("opens"), F.col("weight")).otherwise(0.0)).alias("weight"))
     return by_name.groupBy(*keys).agg(F.sum("weight").alias("weight"), F.expr(_LAST_METADATA))
 
 
-def build(docs: DataFrame, kinds: Kinds = Kinds(), order: str = "id") -> Graph:
-    """docs: id, title, short_title, jurisdiction, type, source_url, sections and metadata of the document model."""
+def build(docs: DataFrame, kinds: Kinds = Kinds(), order: str = "id", metadata: bool = True) -> Graph:
+    """docs: id, title, short_title, jurisdiction, type, source_url, sections and metadata of the document model.
+
+    Without metadata those of edges stay empty, which spares an aggregation.
+    """
     nodes, edges = emitted(docs, kinds, order)
-    return Graph(merged_nodes(nodes), merged_edges(edges))
+    return Graph(merged_nodes(nodes), merged_edges(edges, metadata))

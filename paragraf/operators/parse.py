@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,14 +197,15 @@ _CITED = T.ArrayType(T.StructType([T.StructField("refs", T.ArrayType(citations.R
 def cite_all(texts: Column) -> Column:
     """References and chains of an array of (text, law) in one pass."""
 
-    def each(column: pd.Series) -> pd.Series:
-        out = []
-        for rows in column:
-            out.append([{"refs": [{"type": k, "target": t} for k, t in citations.references_of(r["text"], r["law"])], "norm_chains": [{"source": a, "target": b} for a, b in citations.chains_of(r["text"], r["law"])]} for r in (rows if rows is not None else [])])
-        return pd.Series(out, dtype=object)
+    def each(column: pa.Array) -> pa.Array:
+        flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)))])
+        texts, laws = flat.field("text").to_pylist(), flat.field("law").to_pylist()
+        refs = citations.struct_lists([citations.references_of(t, d) for t, d in zip(texts, laws)], citations.REFERENCE)
+        chains = citations.struct_lists([citations.chains_of(t, d) for t, d in zip(texts, laws)], citations.CHAIN)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([refs, chains], names=["refs", "norm_chains"]))
 
-    each.__annotations__ = {"column": pd.Series, "return": pd.Series}
-    return F.pandas_udf(each, _CITED)(texts)
+    each.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(each, _CITED)(texts)
 
 
 def _document(t: Column, published: Column, start: Column, end: Column, sections: Column, short: Column, jurisdiction: Column) -> Column:

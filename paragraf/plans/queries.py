@@ -24,9 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Before costly Python: a table in fewer splits than there are cores is spread over them; others stay as they are."""
+    """Before costly Python: a table of fewer splits than there are cores is spread over them; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _query(sql: str | None = None):
@@ -304,7 +304,7 @@ def graph_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""{_WITH_EDGES} SELECT "to" AS target, CAST(sum(weight) AS BIGINT) AS citations, count(*) AS sections FROM whole WHERE type = 'cites' GROUP BY "to\"""")
 def most_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cites = _graph(spark, sf_dir).edges.where("type = 'cites'")
+    cites = graph.build(order_documents(spark, sf_dir), graph.Kinds(False, True, False, False), metadata=False).edges
     return cites.groupBy(F.col("to").alias("target")).agg(F.sum("weight").cast("bigint").alias("citations"), F.count("*").alias("sections")).orderBy(F.desc("citations"), "target")
 
 

@@ -5,10 +5,12 @@ All portals of HTML pages are one operator, listed(), driven by a row of setting
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,13 +70,13 @@ STATES = {
 PROFILES = {
     p.name: p
     for p in (
-        _profile("badenwuerttemberg", "DE-BW", "www.landesrecht-bw.de", "landesrecht-bw.de"),
+        _profile("baden-wuerttemberg", "DE-BW", "www.landesrecht-bw.de", "landesrecht-bw.de"),
         _profile("berlin", "DE-BE", "gesetze.berlin.de"),
         _profile("hessen", "DE-HE", "www.rv.hessenrecht.hessen.de", "rv.hessenrecht.hessen.de"),
-        _profile("mecklenburgvorpommern", "DE-MV", "www.landesrecht-mv.de", "landesrecht-mv.de"),
-        _profile("rheinlandpfalz", "DE-RP", "landesrecht.rlp.de"),
-        _profile("sachsenanhalt", "DE-ST", "www.landesrecht.sachsen-anhalt.de", "landesrecht.sachsen-anhalt.de"),
-        _profile("schleswigholstein", "DE-SH", "www.gesetze-rechtsprechung.sh.juris.de", "gesetze-rechtsprechung.sh.juris.de"),
+        _profile("mecklenburg-vorpommern", "DE-MV", "www.landesrecht-mv.de", "landesrecht-mv.de"),
+        _profile("rheinland-pfalz", "DE-RP", "landesrecht.rlp.de"),
+        _profile("sachsen-anhalt", "DE-ST", "www.landesrecht.sachsen-anhalt.de", "landesrecht.sachsen-anhalt.de"),
+        _profile("schleswig-holstein", "DE-SH", "www.gesetze-rechtsprechung.sh.juris.de", "gesetze-rechtsprechung.sh.juris.de"),
         _profile("thueringen", "DE-TH", "landesrecht.thueringen.de"),
     )
 }
@@ -98,11 +100,13 @@ def default_query(name: str) -> dict[str, str] | None:
 
 
 def profile(name: str, query_overrides: dict[str, str] | None = None, **settings) -> Portal:
-    """A profile by name, settings before its own. A name that is no profile needs a base_url of its own."""
+    """A profile by name, settings before its own. A name that is no profile needs a base_url of its own, else ValueError."""
     name = name.strip(SPACES) or "juris"
     p = PROFILES.get(name)
     if p is None:
-        base = settings.get("base_url") or "https://www.landesrecht.example/"
+        base = (settings.get("base_url") or "").strip(SPACES)
+        if not base:
+            raise ValueError(f"{name!r} is no profile ({', '.join(profile_names())}) and has no base_url")
         p = Portal(name, "", build_url(base, settings.get("list_path", ""), settings.get("list_query", {})), _GENERIC, (base.split("//", 1)[-1].split("/", 1)[0].lower(),), ("jportal", "quelle.jlink"), ("doc.id", "doc.part"), ("doc.id", "doknr", "id", "j"), exact_hosts=True, dotted_ids=False, base_url=base)
     p = replace(p, **{k: v for k, v in settings.items() if v})
     if any(settings.get(k) for k in ("base_url", "list_path", "list_query")) and not settings.get("list_url"):
@@ -110,6 +114,15 @@ def profile(name: str, query_overrides: dict[str, str] | None = None, **settings
     return p.with_query(query_overrides) if query_overrides else p
 
 
+def presets() -> dict[str, Callable[..., Portal]]:
+    """A constructor for each profile; its keywords are query overrides."""
+    return {name: partial(_preset, name) for name in profile_names()}
+
+
+def _preset(name: str, **query_overrides: str) -> Portal:
+    return profile(name, query_overrides or None)
+
+
 def is_document_url(url: Column, portal: Portal) -> Column:
     place, way, asked = host(url), F.lower(path(url)), F.lower(query(url))
     where = place.isin(*[h.lower() for h in portal.hosts]) if portal.exact_hosts else any_of([place.contains(h) for h in portal.hosts])
@@ -130,7 +143,12 @@ def anchors(raw: Column, hrefs: tuple[str, ...] = ()) -> Column:
         out = []
         for page in pages:
             found = []
-            for a in tree(page if isinstance(page, str) else bytes(page or b"").decode("utf-8", errors="replace")).find("a"):
+            try:
+                html = tree(page if isinstance(page, str) else bytes(page or b"").decode("utf-8", errors="replace"))
+            except ValueError:  # a page that cannot be read lists nothing
+                out.append(found)
+                continue
+            for a in html.find("a"):
                 href = a.attrs.get("href")
                 if href is not None and (not hrefs or any(h in href for h in hrefs)):
                     text = a.text()
@@ -147,7 +165,7 @@ def listed(pages: DataFrame, portal: Portal, raw: str = "payload", base: str | N
     """page, pos, id, url, title of the documents that list pages link to, a URL once a page (where it comes first).
 
     pages: page (any key), raw (markup) and, if named, base (the page's URL; else the portal's list URL). Null and
-    empty pages list nothing; equal keys are one page.
+    empty pages and those that cannot be read list nothing; equal keys are one page.
     """
     where = F.col(base) if base else F.lit(portal.list_url)
     hits = pages.select(F.col(page).alias("page"), where.alias("base"), F.posexplode(anchors(F.coalesce(F.col(raw), F.lit("").cast(pages.schema[raw].dataType)), portal.hrefs)).alias("at", "a"))
@@ -170,3 +188,30 @@ def federal_toc(tocs: DataFrame, raw: str = "payload") -> DataFrame:
     items = F.from_xml(text, F.lit("item array<struct<title:string,link:string>>"))["item"]
     each = tocs.select(F.posexplode(items).alias("pos", "i")).select("pos", parent_name(trimmed("i.link")).alias("id"), https(F.col("i.link")).alias("url"), trimmed(F.coalesce(F.col("i.title"), F.lit(""))).alias("title"))
     return each.where("id <> ''")
+
+
+def list_pages(spark: SparkSession, portal: Portal, fetch: Callable[[str], tuple[int, bytes]]) -> DataFrame:
+    """page_id (its URL), payload: the portal's list page, fetched on the driver. A status of 400 or more is an error."""
+    status, payload = fetch(portal.list_url)
+    if status >= 400:
+        raise ValueError(f"list request failed with status {status}")
+    return spark.createDataFrame([(portal.list_url, payload)], "page_id STRING, payload BINARY")
+
+
+def portal_refs(spark: SparkSession, portal: Portal, fetch: Callable[[str], tuple[int, bytes]]) -> DataFrame:
+    """pos, id, url, title of what a portal's list page links to."""
+    return listed(list_pages(spark, portal, fetch), portal).select("pos", "id", "url", "title")
+
+
+def federal_refs(spark: SparkSession, fetch: Callable[[str], tuple[int, bytes]], toc_url: str = FEDERAL_TOC) -> DataFrame:
+    """pos, id, url, title of the federal table of contents, fetched on the driver."""
+    status, payload = fetch(toc_url)
+    if status >= 400:
+        raise ValueError(f"list request failed with status {status}")
+    return federal_toc(spark.createDataFrame([(payload,)], "payload BINARY"))
+
+
+def with_federal_urls(refs: DataFrame) -> DataFrame:
+    """refs whose blank URLs are those of their ids' archives; without an id they stay blank."""
+    named = F.when(non_blank("id").isNotNull(), F.concat(F.lit(FEDERAL_LAW.split("{}")[0]), trimmed("id"), F.lit(FEDERAL_LAW.split("{}")[1])))
+    return refs.withColumn("url", F.coalesce(non_blank("url"), named, F.lit("")))
