@@ -6,9 +6,10 @@ and the report all start from that table and agree however often a task is run a
 
 from __future__ import annotations
 
+import time
 import uuid
-from dataclasses import dataclass, field
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ensured_versions, filled_range
 from ..functions.text import first_non_blank
+from ..sources import portals
 from ..sources.http import Fetcher
+from ..sources.landing import unzipped
 from .export import write_json_file
+from .parse import federal_document, portal_document
 
-WORKERS, MAX_FAILURES = 4, 100
+WORKERS, MAX_FAILURES, BATCH_ROWS = 4, 100, 10_000
 
 
 def document_key(doc_id: Column | str, url: Column | str) -> Column:
@@ -55,8 +59,8 @@ def pending(refs: DataFrame, progress: DataFrame | None, source: str) -> DataFra
 _FETCHED = "document_key STRING, id STRING, url STRING, title STRING, status INT, payload BINARY, error STRING"
 
 
-def fetched(refs: DataFrame, fetcher: Callable[[], Fetcher], workers: int = WORKERS) -> DataFrame:
-    """A row for each ref (document_key, id, url, title): status and payload, or error. fetcher is called once a task."""
+def fetched(refs: DataFrame, fetcher: Callable[[], Fetcher], workers: int = WORKERS, snapshot: Callable[[str, bytes], object] | None = None) -> DataFrame:
+    """A row for each ref (document_key, id, url, title): status and payload, or error. fetcher is called once a task, snapshot with id (or key) and payload of each answer."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fetch = fetcher()
@@ -70,6 +74,8 @@ def fetched(refs: DataFrame, fetcher: Callable[[], Fetcher], workers: int = WORK
                     status, payload = fetch(url)
                     if status >= 400:
                         payload, error = None, f"document request failed with status {status}"
+                    elif snapshot is not None:
+                        snapshot((doc_id or "").strip() or key, payload)
                 except Exception as e:  # one document's failure is a row, not the job's
                     error = str(e) or type(e).__name__
                 rows.append((key, doc_id, url, title, status, payload, error))
@@ -102,6 +108,8 @@ class Report:
     total_unique: int = 0
     failed: list[dict[str, str]] = field(default_factory=list)
     missing: list[str] = field(default_factory=list)
+    #: Tables of all outcomes (document_key, url, reason, outcome), one a batch.
+    outcomes: str = ""
 
     @property
     def coverage(self) -> float:
@@ -138,55 +146,115 @@ class IngestError(RuntimeError):
 
 def run(
     refs: DataFrame, fetcher: Callable[[], Fetcher], parse: Callable[[Column], Column], workdir: str, source: str, jurisdiction: str, sink: Callable[[DataFrame], None] | None = None, progress_path: str | None = None,
-    workers: int = WORKERS, max_failures: int = MAX_FAILURES, continue_on_error: bool = True, report_path: str | None = None, pos: str = "pos",
+    workers: int = WORKERS, max_failures: int = MAX_FAILURES, continue_on_error: bool = True, report_path: str | None = None, pos: str = "pos", batch_rows: int = BATCH_ROWS, snapshot: Callable[[str, bytes], object] | None = None,
+    on_progress: Callable[[Report], None] | None = None, snapshot_path: str | None = None, snapshot_every_s: float = 10.0, clock: Callable[[], float] = time.monotonic,
 ) -> Report:
-    """Fetches refs (pos, id, url, title) that aren't done, parses and stores them, marks progress, reports.
+    """Fetches refs (pos, id, url, title, and if there is one, source_key) that aren't done, parses and stores them, marks progress, reports.
+
+    workdir: shared folder for the answers and parsed documents of this run. Refs are taken in batches of about batch_rows
+    by hashed key, and progress is marked after each: a run that is killed goes on with the batch that it was in, from
+    the answers that batch had written. sink: gets the documents of a batch with source_key; if it fails, all of them
+    count as failed to store. progress_path: Parquet that progress is read from and appended to. Without
+    continue_on_error a run raises IngestError after the first batch with failures, when it has accounted for it. on_progress
+    gets the report so far after each batch, snapshot_path the same as JSON, snapshot_every_s seconds apart at least.
+    snapshot: called on executors with id and payload of each answer, once at least.
 
-    workdir: shared folder for the answers and parsed documents of this run. sink: gets the documents, all at once; if
-    it fails, all of them count as failed to store. progress_path: Parquet that progress is read from and appended to.
-    Without continue_on_error a run with failures raises IngestError when it has accounted for everything.
+    The report lists at most max_failures failures and as many missing keys; the folder in report.outcomes holds all.
     """
     spark: SparkSession = refs.sparkSession
-    started = datetime.now(timezone.utc)
-    at = f"{workdir.rstrip('/')}/run-{uuid.uuid4().hex}"
+    started, shown = datetime.now(timezone.utc), None
+    base = workdir.rstrip("/")
+    at = f"{base}/run-{uuid.uuid4().hex}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{at}/{name}")
         return spark.read.parquet(f"{at}/{name}")
 
+    refs = refs if "source_key" in refs.columns else refs.withColumn("source_key", F.lit(None).cast("string"))
     listed = refs.count()
+    left = _left_answers(spark, base, source)
     unique = kept(unique_refs(refs, pos), "refs")
-    progress = _read_progress(spark, progress_path)
-    todo = kept(pending(unique, progress, source), "todo")
-    answers = kept(fetched(todo, fetcher, workers), "answers")
+    todo = kept(pending(unique, _read_progress(spark, progress_path), source), "todo")
+    queued, total_unique = todo.count(), unique.count()
+    batches = max(1, -(-queued // batch_rows))
+    report = Report(source, started, started, listed, total_unique, total_unique=total_unique, skipped_completed=total_unique - queued, outcomes=f"{at}/*/outcomes")
     doc = completed(F.col("d"), F.col("id"), F.col("title"), F.col("url"), jurisdiction)
-    parsed = kept(answers.where("error IS NULL").withColumn("d", parse(F.col("payload"))).select("document_key", "url", doc.alias("d")), "parsed")
-    good = parsed.where("d.error IS NULL").select("document_key", "d.*").drop("error")
-    sink_error = None
-    if sink is not None:
-        try:
-            sink(good.drop("document_key"))
-        except Exception as e:  # the sink is the caller's; its failure is accounted for
-            sink_error = str(e) or type(e).__name__
-    ended = "fetched" if sink is None else "store_failed" if sink_error else "stored"
-    failed = answers.where("error IS NOT NULL").select("document_key", "url", F.col("error").alias("reason")).unionByName(parsed.where("d.error IS NOT NULL").select("document_key", "url", F.col("d.error").alias("reason")))
-    states = failed.select("document_key", "url", "reason", F.lit("fetch_failed").alias("outcome")).unionByName(good.select("document_key", F.col("source_url").alias("url"), F.lit(sink_error).cast("string").alias("reason"), F.lit(ended).alias("outcome")))
-    skipped = unique.join(todo.select("document_key"), "document_key", "left_anti").select("document_key", "url", F.lit(None).cast("string").alias("reason"), F.lit("skipped").alias("outcome"))
-    outcomes = kept(states.unionByName(skipped), "outcomes")
-    if progress_path:
-        marks = outcomes.where("outcome <> 'skipped'").select(F.lit(source).alias("source"), "document_key", F.when(F.col("outcome").endswith("failed"), "failed").otherwise("completed").alias("status"), F.coalesce("reason", F.lit("")).alias("reason"), F.current_timestamp().alias("updated_at"))
-        marks.write.mode("append").parquet(progress_path)
-    counts = outcome_counts(outcomes).first().asDict()
-    worst = [r.asDict() for r in outcomes.where("outcome LIKE '%failed'").orderBy("document_key").limit(max_failures).select("document_key", F.coalesce("url", F.lit("")).alias("url"), "reason").collect()]
-    missing = [r[0] for r in outcomes.where("outcome = 'fetch_failed'").orderBy("document_key").select("document_key").collect()]
-    report = Report(source, started, datetime.now(timezone.utc), listed, todo.count() + counts["skipped_completed"], failed=worst, missing=missing, **counts)
-    if report_path:
-        write_json_file(report_path, report.as_json())
+    for k in range(batches if queued else 0):
+        part = todo.where(F.pmod(F.xxhash64("document_key"), F.lit(batches)) == k)
+        known = None if left is None else left.join(part.select("document_key", F.col("url").alias("asked")), "document_key").where("url = asked").drop("asked")
+        asked = part if known is None else part.join(known, "document_key", "left_anti")
+        answers = fetched(asked, fetcher, workers, snapshot)
+        answers = kept((answers if known is None else answers.unionByName(known)).withColumn("source", F.lit(source)), f"batch-{k}/answers")
+        answers = answers.join(part.select("document_key", "source_key"), "document_key")
+        parsed = kept(answers.where("error IS NULL").withColumn("d", parse(F.col("payload"))).select("document_key", "url", "source_key", doc.alias("d")), f"batch-{k}/parsed")
+        good = parsed.where("d.error IS NULL").select("document_key", "source_key", "d.*").drop("error")
+        sink_error = None
+        if sink is not None and not good.isEmpty():
+            try:
+                sink(good.drop("document_key"))
+            except Exception as e:  # the sink is the caller's; its failure is accounted for
+                sink_error = str(e) or type(e).__name__
+        ended = "fetched" if sink is None else "store_failed" if sink_error else "stored"
+        failed = answers.where("error IS NOT NULL").select("document_key", "url", F.col("error").alias("reason")).unionByName(parsed.where("d.error IS NOT NULL").select("document_key", "url", F.col("d.error").alias("reason")))
+        states = failed.select("document_key", "url", "reason", F.lit("fetch_failed").alias("outcome")).unionByName(good.select("document_key", F.col("source_url").alias("url"), F.lit(sink_error).cast("string").alias("reason"), F.lit(ended).alias("outcome")))
+        outcomes = kept(states, f"batch-{k}/outcomes")
+        if progress_path:
+            marks = outcomes.select(F.lit(source).alias("source"), "document_key", F.when(F.col("outcome").endswith("failed"), "failed").otherwise("completed").alias("status"), F.coalesce("reason", F.lit("")).alias("reason"), F.current_timestamp().alias("updated_at"))
+            marks.write.mode("append").parquet(progress_path)
+        _account(report, outcomes, max_failures)
+        if on_progress:
+            on_progress(report)
+        if snapshot_path and (shown is None or clock() - shown >= snapshot_every_s):
+            shown = clock()
+            write_json_file(snapshot_path, report.as_json())
+        if report.total_failed and not continue_on_error:
+            break
+    report.finished_at = datetime.now(timezone.utc)
+    for path in filter(None, (report_path, snapshot_path)):
+        write_json_file(path, report.as_json())
     if not continue_on_error and report.total_failed:
-        raise IngestError(f"{report.total_failed} documents failed, first {worst[0]['document_key']}: {worst[0]['reason']}", report)
+        worst = report.failed[0] if report.failed else {"document_key": "", "reason": ""}
+        raise IngestError(f"{report.total_failed} documents failed, first {worst['document_key']}: {worst['reason']}", report)
     return report
 
 
+def _account(report: Report, outcomes: DataFrame, most: int) -> None:
+    """Adds a batch to the report; of failures and missing keys the least, most of each."""
+    counts = outcome_counts(outcomes).first()
+    for name in ("total_fetched", "total_stored", "total_failed"):
+        setattr(report, name, getattr(report, name) + counts[name])
+    worst = outcomes.where("outcome LIKE '%failed'").orderBy("document_key").limit(most).select("document_key", F.coalesce("url", F.lit("")).alias("url"), "reason")
+    report.failed = sorted(report.failed + [r.asDict() for r in worst.collect()], key=lambda f: f["document_key"])[:most]
+    missing = outcomes.where("outcome = 'fetch_failed'").orderBy("document_key").limit(most).select("document_key")
+    report.missing = sorted(report.missing + [r[0] for r in missing.collect()])[:most]
+    report.finished_at = datetime.now(timezone.utc)
+
+
+def _left_answers(spark: SparkSession, base: str, source: str) -> DataFrame | None:
+    """Good answers of batches that were never accounted for, a row a key: those of runs that died."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    where = path(f"{base}/run-*/batch-*/answers/_SUCCESS")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [str(s.getPath().getParent().getParent()) for s in fs.globStatus(where) or []]
+    dead = [f"{f}/answers" for f in folders if not fs.exists(path(f"{f}/outcomes/_SUCCESS"))]
+    if not dead:
+        return None
+    rows = spark.read.schema(_FETCHED + ", source STRING").parquet(*dead).where((F.col("source") == source) & F.col("error").isNull())
+    return rows.groupBy("document_key").agg(F.max_by(F.struct("id", "url", "title", "status", "payload", "error"), "url").alias("r")).select("document_key", "r.*")
+
+
+def federal(spark: SparkSession, fetcher: Callable[[], Fetcher], workdir: str, refs: DataFrame | None = None, **settings) -> Report:
+    """The federal corpus end to end: table of contents (or refs), archives (by their ids where refs have no URL), first XML of each, parsed."""
+    refs = portals.federal_refs(spark, fetcher()) if refs is None else refs
+    return run(portals.with_federal_urls(refs), fetcher, lambda raw: federal_document(unzipped(raw)), workdir, portals.FEDERAL, portals.FEDERAL_JURISDICTION, **settings)
+
+
+def portal(spark: SparkSession, settings: portals.Portal, fetcher: Callable[[], Fetcher], workdir: str, refs: DataFrame | None = None, **more) -> Report:
+    """A portal's corpus end to end: list page (or refs), pages, parsed as the portal's."""
+    refs = portals.portal_refs(spark, settings, fetcher()) if refs is None else refs
+    return run(refs, fetcher, lambda raw: portal_document(raw, settings.jurisdiction, settings.short_title), workdir, portals.source_name(settings), settings.jurisdiction, **more)
+
+
 def _read_progress(spark: SparkSession, path: str | None) -> DataFrame | None:
     if not path:
         return None

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT, TILE = 10, 1024
+LIMIT, TILE, BROADCAST_BYTES, SAMPLE_ROWS = 10, 1024, 64 << 20, 20_000
 
 
 def checked(vector: Sequence[float]) -> list[float]:
@@ -54,45 +56,137 @@ def similar(rows: DataFrame, query: Sequence[float], limit: int = LIMIT, keys: S
     return near.orderBy("distance", *keys).limit(limit if limit > 0 else LIMIT)
 
 
-def _tile(key: tuple, rows: pa.Table) -> pa.Table:
-    v = rows.column("v").combine_chunks()
-    x = np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64)
-    return pa.table({"tile": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([rows.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), "v": pa.array([x.tobytes()], pa.binary())})
+def _packed(size: int):
+    """(id, v) in blocks of at most size rows, as bytes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, size):
+                part = batch.slice(k, size)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "v"])
+
+    return each
 
 
 def _nearest(limit: int):
+    """Of blocks of queries (b, q_ids, q_v) and of rows (ids, v): each query's nearest rows that the task has seen, and some more, which may tie."""
+    more = limit + 16
+
     def unit(raw: bytes, n: int) -> np.ndarray:
         x = np.frombuffer(raw, np.float64).reshape(n, -1)
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[k], np.int64) for k in ("q_ids", "ids"))
-                far = 1 - unit(r["q_v"], len(a)) @ unit(r["v"], len(b)).T
-                far[a[:, None] == b[None]] = np.inf
-                k = min(limit, len(b))
-                cut = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
-                i, j = np.nonzero((far <= cut + 1e-12) & np.isfinite(far))
-                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(far[i, j])], names=["query_id", "id", "distance"])
+                if r["b"] not in asked:
+                    q = np.frombuffer(r["q_ids"], np.int64)
+                    asked[r["b"]] = q, unit(r["q_v"], len(q))
+                    best[r["b"]] = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+                q, x = asked[r["b"]]
+                ids = np.frombuffer(r["ids"], np.int64)
+                far = 1 - x @ unit(r["v"], len(ids)).T
+                far[q[:, None] == ids] = np.inf
+                far, named = np.concatenate([best[r["b"]][0], far], 1), np.concatenate([best[r["b"]][1], np.broadcast_to(ids, far.shape)], 1)
+                if far.shape[1] > more:
+                    at = np.argpartition(far, more - 1, axis=1)[:, :more]
+                    far, named = np.take_along_axis(far, at, 1), np.take_along_axis(named, at, 1)
+                best[r["b"]] = far, named
+        for b, (far, named) in best.items():
+            i, j = np.nonzero(np.isfinite(far))
+            yield pa.RecordBatch.from_arrays([pa.array(asked[b][0][i]), pa.array(named[i, j]), pa.array(far[i, j])], names=["query_id", "id", "distance"])
 
     return each
 
 
-def similar_to_all(rows: DataFrame, limit: int = LIMIT, key: str = "vec_id", vector: str = "embedding", tile: int = TILE) -> DataFrame:
-    """query_id, rank (from 1), id, distance: of every row the nearest others. Rows of equal keys aren't each other's.
+def _good(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    v = F.col(vector).cast("array<double>")
+    return rows.select(F.col(key).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
 
-    Tiles of rows meet each other and go through one matrix product; each sends on its best only. Keys are whole
-    numbers; vectors of another length than most are left out.
+
+def similar_to_all(rows: DataFrame, limit: int = LIMIT, key: str = "vec_id", vector: str = "embedding", tile: int = TILE, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, rank (from 1), id, distance: of every query (a row of queries, else of rows) the nearest rows. Rows of equal keys aren't each other's.
+
+    Blocks of queries meet blocks of rows; rows are read in place and each task sends on its best only. Queries are
+    broadcast up to BROADCAST_BYTES of them, beyond that shuffled by block. Keys are whole numbers; vectors meet those
+    of their own length, one length after the other.
     """
-    v = F.col(vector).cast("array<double>")
-    good = rows.select(F.col(key).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    sizes = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if not sizes:
+    found, good, asked = None, _good(rows, key, vector), _good(rows if queries is None else queries, key, vector)
+    for n, count in sorted((r["n"], r["count"]) for r in asked.groupBy(F.size("v").alias("n")).count().collect()):
+        blocks = max(1, -(-count // tile))
+        q = asked.where(F.size("v") == n).repartition(blocks, F.xxhash64("id")).mapInArrow(_packed(tile), "ids BINARY, v BINARY")
+        # A block's number is its digest, taken modulo the numbers that rows are sent to.
+        q = q.select(F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int").alias("part"), F.xxhash64("ids").alias("b"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+        own = good.where(F.size("v") == n).mapInArrow(_packed(tile), "ids BINARY, v BINARY").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = own.join(F.broadcast(q) if count * (n + 1) * 8 <= BROADCAST_BYTES else q, "part").select("b", "q_ids", "q_v", "ids", "v")
+        near = pairs.mapInArrow(_nearest(limit), "query_id BIGINT, id BIGINT, distance DOUBLE")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
         return rows.sparkSession.createDataFrame([], "query_id BIGINT, rank INT, id BIGINT, distance DOUBLE")
-    parts = max(1, -(-sizes["count"] // tile))
-    tiles = good.where(F.size("v") == sizes["n"]).groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("tile")).applyInArrow(_tile, "tile BIGINT, ids BINARY, v BINARY")
-    pairs = tiles.select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v")).crossJoin(tiles.select("ids", "v"))
-    found = pairs.mapInArrow(_nearest(limit), "query_id BIGINT, id BIGINT, distance DOUBLE")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "distance")
+
+
+# Cells: an index for approximate search
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centres (rows of length 1): a row belongs to the cell of its nearest centre."""
+
+    centres: np.ndarray
+
+    def nearest(self, query: Sequence[float], probes: int) -> list[int]:
+        return [int(k) for k in np.argsort(-(self.centres @ np.asarray(checked(query))), kind="stable")[:probes]]
+
+    def indexed(self, rows: DataFrame, vector: str = "embedding") -> DataFrame:
+        """rows with cell, null where a vector has no direction or another length. Written with partitionBy("cell"), searches read their cells only."""
+        centres = self.centres
+
+        @F.pandas_udf("int")
+        def cell(v: pd.Series) -> pd.Series:
+            x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, centres.shape[1]))
+            return pd.Series((x @ centres.T).argmax(1).astype(np.int32))
+
+        v, blank = F.col(vector).cast("array<double>"), F.array(*[F.lit(0.0)] * centres.shape[1])
+        good = usable(v, centres.shape[1])
+        return rows.withColumn("cell", F.when(good, cell(F.when(good, v).otherwise(blank))))
+
+
+def fit_cells(rows: DataFrame, cells: int, sample_rows: int = SAMPLE_ROWS, key: str = "vec_id", vector: str = "embedding", rounds: int = 12, seed: int = 5) -> Cells:
+    """k-means by cosine on at most sample_rows rows of the most frequent length, those of least hashed key."""
+    good = _good(rows, key, vector)
+    sizes = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if not sizes:
+        raise ValueError("no vectors to fit cells on")
+    sample = good.where(F.size("v") == sizes["n"]).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows).collect()
+    x = np.array([r["v"] for r in sample])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    centres = x[: max(1, cells)].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        length = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+    return Cells(centres)
+
+
+def similar_in_cells(indexed: DataFrame, query: Sequence[float], cells: Cells, probes: int, limit: int = LIMIT, keys: Sequence[str] = ("document_id", "section_index", "chunk_index"), vector: str = "embedding") -> DataFrame:
+    """As similar(), over the rows of the nearest cells only. With as many probes as cells it is exact."""
+    return similar(indexed.where(F.col("cell").isin(cells.nearest(query, probes))), query, limit, keys, vector).drop("cell")
+
+
+def probes_for(indexed: DataFrame, cells: Cells, recall: float = 0.9, queries: int = 64, limit: int = LIMIT, key: str = "vec_id", vector: str = "embedding") -> int:
+    """The least number of cells that holds that share of the limit nearest rows, measured by exact search of at most queries rows against all."""
+    asked = indexed.where("cell IS NOT NULL").orderBy(F.xxhash64(F.col(key)), key).limit(queries).select(key, vector).collect()
+    if not asked:
+        return 1
+    vectors = {r[0]: r[1] for r in asked}
+    sample = indexed.where(F.col(key).isin(list(vectors)))
+    near = similar_to_all(indexed, limit, key, vector, queries=sample).join(indexed.where("cell IS NOT NULL").select(F.col(key).cast("bigint").alias("id"), "cell"), "id").collect()
+    ranks = sorted(cells.nearest(vectors[r["query_id"]], len(cells.centres)).index(r["cell"]) + 1 for r in near)
+    return ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] if ranks else 1
