@@ -4,10 +4,12 @@ import io
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paragraf.operators import export, graph, ingest, parse, vector
+from paragraf.operators.relational import Database
 from paragraf.operators.store import Store, last_of_each, persistable_id
 from paragraf.schema import DOCUMENT
 from paragraf.sources import http, landing, portals
@@ -53,6 +55,14 @@ def test_graph_switches_and_empty(spark):
     assert graph.build(docs.where("false")).nodes.count() == 0
 
 
+def test_graph_takes_any_other_columns(spark):
+    docs = spark.createDataFrame([document("a", sections=[section("1", [("law", "B")])])], DOCUMENT)
+    clashing = docs.withColumn("_d", F.lit(1)).withColumn("_o", F.lit("x")).withColumn("_s", F.lit(2)).withColumn("_t", F.lit(3))
+    assert sorted(map(str, graph.build(clashing).edges.collect())) == sorted(map(str, graph.build(docs).edges.collect()))
+    plain = graph.build(docs, metadata=False).edges.where("type = 'cites'").collect()
+    assert [(r["to"], r.weight, r.metadata) for r in plain] == [("law:b", 1.0, {})]
+
+
 def test_merge_rules(spark):
     rows = [("a", "b", "t", -1.0, {"k": "1"}, 1), ("a", "b", "t", 2.0, {"k": "2", "l": "3"}, 2), ("a", "a", "t", 1.0, {}, 3), (" ", "b", "t", 1.0, None, 4)]
     found = graph.merged_edges(spark.createDataFrame(rows, "`from` STRING, `to` STRING, type STRING, weight DOUBLE, metadata MAP<STRING,STRING>, seq INT")).collect()
@@ -72,6 +82,31 @@ def test_vectors(spark):
             vector.checked(bad)
 
 
+def test_search_of_queries_and_lengths(spark):
+    r = np.random.RandomState(3)
+    x = r.randn(300, 8)
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(1000 + i, [1.0, float(i)]) for i in range(4)] + [(7, None)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    found = {(q.query_id, q.rank): q.id for q in vector.similar_to_all(rows, 3, tile=32, queries=rows.where("vec_id % 50 = 0")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, k + 1): int(i) for q in range(0, 300, 50) for k, i in enumerate([i for i in np.argsort(-(u @ u[q]), kind="stable") if i != q][:3])}
+    assert {k: v for k, v in found.items() if k[0] < 1000} == want and {k[0] for k in found} == {0, 50, 100, 150, 200, 250, 1000}
+    assert found[1000, 1] == 1001
+
+
+def test_cells_reach_their_recall(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    cells = vector.fit_cells(rows, 8)
+    indexed = cells.indexed(rows)
+    probes = vector.probes_for(indexed, cells, 0.9)
+    asked, hits = rows.where("vec_id % 50 = 0").collect(), 0
+    for q in asked:
+        near = {r.vec_id for r in vector.similar_in_cells(indexed, q.embedding, cells, probes, 10, keys=("vec_id",)).collect()}
+        hits += len(near & {r.vec_id for r in vector.similar(rows, q.embedding, 10, keys=("vec_id",)).collect()})
+    assert probes <= 8 and hits >= 0.85 * 10 * len(asked)
+    bad = spark.createDataFrame([(1, None), (2, [1.0]), (3, [float("nan")] * 64)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    assert [r.cell for r in cells.indexed(bad).collect()] == [None] * 3
+
+
 def test_export(spark, built):
     docs = spark.createDataFrame([document("a", "<&>"), document("b", sections=[section("1", [("law", "B")])])], DOCUMENT)
     lines = [r.line for r in export.document_lines(docs).collect()]
@@ -91,6 +126,12 @@ def test_portal_lists(spark):
     p = portals.profile("berlin", {"query": "bau", "showdoccase": " "})
     assert p.list_url == "https://gesetze.berlin.de/jportal/?quelle=jlink&query=bau" and portals.source_name(p) == "juris-berlin"
     assert portals.default_query("hessen")["query"] == "*" and portals.default_query("nirgends") is None
+    assert portals.profile("baden-wuerttemberg").jurisdiction == "DE-BW" and portals.presets()["sachsen-anhalt"](query="x").list_query["query"] == "x"
+    assert portals.profile("eigenes", base_url="https://recht.example/").list_url == "https://recht.example/"
+    with pytest.raises(ValueError):
+        portals.profile("badenwuerttemberg")
+    odd = spark.createDataFrame([(1, '<![bogus[x]]><a href="/lmi/owa/a?v_id=7">Da</a><![if x]>')], "page_id INT, payload STRING")
+    assert [r.id for r in portals.listed(odd, portals.PORTALS["nrw"]).collect()] == ["v_id-7"]
 
 
 def test_retry_and_limit():
@@ -135,6 +176,7 @@ def test_ingest(spark, tmp_path):
     assert (report.total_listed, report.total_unique, report.total_queued, report.total_fetched, report.total_stored, report.total_failed, report.skipped_completed) == (6, 4, 4, 2, 2, 2, 0)
     assert report.missing == ["c", "d"] and not report.complete and [f["document_key"] for f in report.failed] == ["c", "d"]
     assert json.loads((tmp_path / "r" / "report.json").read_text())["TotalStored"] == 2
+    assert spark.read.parquet(report.outcomes).where("outcome LIKE '%failed'").count() == 2
     stored = {r.id: r for r in store.read("documents").collect()}
     assert {r.title for r in stored.values()} == {"A", "B"} and stored["a"].effective_from.year == 2001 and store.read("versions").count() == 2
     again = ingest.run(refs, **settings)
@@ -143,6 +185,118 @@ def test_ingest(spark, tmp_path):
         ingest.run(refs, continue_on_error=False, **settings)
 
 
+class Killed(BaseException):
+    """What ends a run without its leave."""
+
+
+def test_ingest_goes_on_after_a_kill(spark, tmp_path):
+    base, work, asked = str(tmp_path / "landing"), str(tmp_path / "work"), str(tmp_path / "asked")
+    for k in range(12):
+        landing.land(base, portals.FEDERAL_LAW.format(f"g{k}"), archive(f"G{k}"))
+
+    def fetcher():
+        inner = landing.replay(base)
+
+        def fetch(url):
+            with open(asked, "a") as f:
+                f.write(url + "\n")
+            return inner(url)
+
+        return fetch
+
+    refs = spark.createDataFrame([(k, f"g{k}", "", "t", "eigen" if k == 3 else None) for k in range(12)], "pos INT, id STRING, url STRING, title STRING, source_key STRING")
+    store, shown, left = Store(spark, str(tmp_path / "store")), [], [2]
+
+    def dying(docs):
+        left[0] -= 1
+        if not left[0]:
+            raise Killed
+        store.sink(source_name="bund")(docs)
+
+    settings = dict(workdir=work, refs=refs, progress_path=str(tmp_path / "progress"), batch_rows=4)
+    with pytest.raises(Killed):
+        ingest.federal(spark, fetcher, sink=dying, **settings)
+    before = open(asked).read().splitlines()
+    report = ingest.federal(spark, fetcher, sink=store.sink(source_name="bund"), on_progress=lambda r: shown.append(r.total_stored), snapshot_path=str(tmp_path / "now.json"), snapshot_every_s=0, **settings)
+    after = open(asked).read().splitlines()
+    # each document was fetched once: the dead batch's answers were taken up
+    assert len(before) < 12 and sorted(after) == sorted({*after}) and len(after) == 12
+    assert report.total_stored + report.skipped_completed == 12 and report.skipped_completed == shown[-1] * 0 + 12 - report.total_stored
+    assert shown == sorted(shown) and json.loads((tmp_path / "now.json").read_text())["TotalStored"] == report.total_stored
+    keys = {r.id: r.source_key for r in store.read("documents").collect()}
+    assert len(keys) == 12 and keys["g3"] == "eigen" and keys["g1"] == "bund"
+
+
+def test_first_error_stops_a_run(spark, tmp_path):
+    refs = spark.createDataFrame([(k, f"g{k}", f"https://x/{k}", "t") for k in range(9)], "pos INT, id STRING, url STRING, title STRING")
+    with pytest.raises(ingest.IngestError) as e:
+        ingest.run(refs, lambda: landing.replay(str(tmp_path)), parse.xml_document, str(tmp_path / "w"), "s", "DE", continue_on_error=False, batch_rows=3)
+    assert 0 < e.value.report.total_failed < 9 and e.value.report.total_listed == 9
+
+
+def test_federal_and_portal_end_to_end(spark, tmp_path):
+    base, snaps = str(tmp_path / "landing"), str(tmp_path / "snaps")
+    landing.land(base, portals.FEDERAL_TOC, b"<items><item><title>ZPO</title><link>http://www.gesetze-im-internet.de/zpo/xml.zip</link></item></items>")
+    landing.land(base, portals.FEDERAL_LAW.format("zpo"), archive("ZPO"))
+    nrw = portals.PORTALS["nrw"]
+    landing.land(base, nrw.list_url, b'<a href="/lmi/owa/br_text?v_id=1">Eins</a>')
+    landing.land(base, "https://recht.nrw.de/lmi/owa/br_text?v_id=1", "<h1>Bauordnung (BauO)</h1><p>Siehe § 1.</p>".encode())
+    store = Store(spark, str(tmp_path / "store"))
+    report = ingest.federal(spark, lambda: landing.replay(base), str(tmp_path / "w"), sink=store.sink(source_name="bundesrecht"), snapshot=lambda doc_id, payload: http.save_snapshot(snaps, "bund", doc_id, payload))
+    assert report.complete and report.total_stored == 1 and len(list((tmp_path / "snaps" / "bund").iterdir())) == 1
+    assert ingest.portal(spark, nrw, lambda: landing.replay(base), str(tmp_path / "w"), sink=store.sink("nrw")).complete
+    stored = {r.id: r for r in store.read("documents").collect()}
+    assert stored["zpo"].title == "ZPO" and stored["v_id-1"].short_title == "BauO" and stored["v_id-1"].source_key == "nrw"
+
+
+def test_store_takes_a_dead_writers_place(spark, tmp_path):
+    store = Store(spark, str(tmp_path), compact_after=3)
+    frame = lambda i: spark.createDataFrame([document(f"d{i}", f"t{i}", [section("1")])], DOCUMENT)
+    store.upsert_documents(frame(0), "s")
+    # a writer that died before its commit: a part, and rows that nothing names
+    (tmp_path / "_commits" / "tot.part").write_text("add tot")
+    frame(9).write.parquet(str(tmp_path / "documents" / ("f" * 32)))
+    other = Store(spark, str(tmp_path))
+    seen = other._commits()
+    for i in range(1, 6):
+        store.upsert_documents(frame(i), "s")
+    assert {r.id for r in store.read("documents").collect()} == {f"d{i}" for i in range(6)} and len(store._commits()) <= 3
+    # a writer that saw an older state takes the next free number
+    other._write({}, seen=seen)
+    assert {r.id for r in store.read("documents").collect()} == {f"d{i}" for i in range(6)}
+    with pytest.raises(RuntimeError):
+        other._write({}, True, seen)
+
+
+def test_relational_sink(spark, tmp_path):
+    path = str(tmp_path / "db.sqlite")
+
+    def connect():
+        import sqlite3
+
+        c = sqlite3.connect(path, timeout=60)
+        c.execute("PRAGMA foreign_keys = ON")
+        return c
+
+    db = Database(connect, flavour="sqlite")
+    db.init_schema()
+    db.init_vector_schema(2)
+    frame = lambda *rows: spark.createDataFrame(list(rows), DOCUMENT)
+    db.upsert_documents(frame(document("a", "eins", [section("1", [("law", "B")]), section("2")]), document("b", "b")), "s", workers=1)
+    db.sink("", "quelle")(frame(document("a", "zwei", [section("9")])).withColumn("source_key", F.lit(" ")))
+    db.upsert_embeddings(spark.createDataFrame([("a", 0, 0, "x", [1.0, 2.5], {"k": "v"})], "document_id STRING, section_index INT, chunk_index INT, content STRING, embedding ARRAY<FLOAT>, metadata MAP<STRING,STRING>"), workers=1)
+    c = connect()
+    assert c.execute("SELECT id, title, source_key FROM documents ORDER BY id").fetchall() == [("a", "zwei", "quelle"), ("b", "b", "s")]
+    assert c.execute('SELECT document_id, section_index, identifier, "references" FROM sections').fetchall() == [("a", 0, "9", "[]")]
+    assert c.execute("SELECT embedding, metadata FROM embeddings").fetchall() == [("[1,2.5]", '{"k":"v"}')]
+    c.close()
+    with pytest.raises(ValueError):
+        db.vector_statements(0)
+    made = Database(connect, "recht").vector_statements(768)
+    assert made[0] == 'CREATE SCHEMA IF NOT EXISTS "recht"' and "VECTOR(768) NOT NULL" in made[-1] and '"recht"."embeddings"' in made[-1]
+    assert "WITH (lists = 1)" in Database(connect).cosine_index_statement(lists=0)
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.read("documents").count() == 0

@@ -20,12 +20,12 @@ def day(x):
     return x and x.strftime("%Y-%m-%d")
 
 
-LAW = '<law id=" bgb_535 "><title>Buergerliches Gesetzbuch</title><type>LAW</type>{}<sections><section id="535"><heading>Miete</heading><content>Durch <b>den</b> Vertrag</content></section></sections></law>'
+LAW = '<law id=" mietg_7 "><title>Mietgesetz</title><type>LAW</type>{}<sections><section id="535"><heading>Miete</heading><content>Durch <b>den</b> Vertrag</content></section></sections></law>'
 
 
 def test_generic_xml(spark):
     d = parsed(spark, parse.xml_document, LAW.format("<publishedAt>2020-01-02</publishedAt><effectiveFrom>03.04.2021</effectiveFrom><effectiveTo>20230405</effectiveTo>"))
-    assert (d.error, d.id, d.title, d.type, len(d.sections)) == (None, "bgb_535", "Buergerliches Gesetzbuch", "law", 1)
+    assert (d.error, d.id, d.title, d.type, len(d.sections)) == (None, "mietg_7", "Mietgesetz", "law", 1)
     assert (day(d.published_at), day(d.effective_from), day(d.effective_to)) == ("2020-01-02", "2021-04-03", "2023-04-05")
     assert d.sections[0].content == "Durch  Vertrag"
 
@@ -38,7 +38,7 @@ def test_generic_xml_range_and_errors(spark):
 
 
 NORMS = """<dokumente>{}<norm doknr="D1"><metadaten><jurabk>ZPO</jurabk><enbez>§ 1</enbez><titel>Titel</titel>{}</metadaten>
-<textdaten><text><Content><P>Siehe § 2 BGB und Art. 3 GG.</P><P>Zwei</P></Content></text></textdaten></norm></dokumente>"""
+<textdaten><text><Content><P>Vgl. § 2 BGB sowie Art. 3 GG.</P><P>Zwei</P></Content></text></textdaten></norm></dokumente>"""
 
 
 def test_federal_xml(spark):
@@ -47,7 +47,7 @@ def test_federal_xml(spark):
     assert (d.title, d.short_title, d.jurisdiction, [s.identifier for s in d.sections]) == ("ZPO", "ZPO", "DE-BUND", ["Vorspruch", "§ 1"])
     assert (day(d.published_at), day(d.effective_from), day(d.effective_to)) == ("1950-01-02", "1951-04-03", "2099-12-31")
     assert [r.target for r in d.sections[1].refs] == ["BGB", "BGB § 2", "GG", "GG Art. 3"]
-    assert d.sections[1].content == "Siehe § 2 BGB und Art. 3 GG.\nZwei"
+    assert d.sections[1].content == "Vgl. § 2 BGB sowie Art. 3 GG.\nZwei"
 
 
 def test_federal_without_norms(spark):
@@ -72,6 +72,11 @@ def test_html_dates(spark, head, body, want):
     assert (day(d.published_at), day(d.effective_from), day(d.effective_to)) == want
 
 
+@pytest.mark.parametrize("page", ["<h1>T</h1><![bogus[x]]><p>a", "<![", "<!DOCTYPE [<h1>T", "<h1>T<![CDATA[<p>]]>", "\x00<h1>T"])
+def test_broken_html_is_no_error(spark, page):
+    assert parsed(spark, parse.html_document, page).error is None
+
+
 def test_html_literal_filter(spark):
     page = '<meta name="effectiveFrom" content="2024-01-01"><p>x'
     assert parsed(spark, parse.html_document, page, literal_meta_filter=True).effective_from is None
