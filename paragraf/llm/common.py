@@ -14,9 +14,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a folder of its own."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local master (tests) gets a folder of its own; a cluster, whose executors would not share it, gets an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="paragraf-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -2,18 +2,26 @@
 
 A window is as many consecutive words as the item has (the whole text where it has fewer), at every position. Its
 64-bit SimHash sums its word n-grams (n = 3, or the item's words if fewer), each with the bytes of its words as its
-weight. Fingerprints are looked up in a multi-index of 8 blocks of 8 bits: two within RADIUS differ by at most
-RADIUS // 8 bits in some block, so probing all block values that near finds all of them. Each candidate is verified
-by the exact weighted Jaccard similarity of the n-gram multisets, at least THRESHOLD. Windows that could not reach it
-(patterns.py) are not fingerprinted.
+weight. A window at the threshold differs from its item in a share acos(2 t / (1 + t)) / pi of the bits, on average;
+radius() is the Hamming distance within which RECALL of such windows lie, and more similar ones lie closer.
+
+Fingerprints are looked up in a multi-index of BLOCKS blocks of 16 bits: two within the radius differ by at most
+radius // BLOCKS bits in some block, so looking at all items that near in a block finds all of them; nothing within the
+radius is lost. Each candidate is verified by the exact weighted Jaccard similarity of the n-gram multisets, at least
+THRESHOLD. Windows that could not reach it (patterns.py) are not fingerprinted, and items of which a slice of texts
+holds no anchor are not looked up in it. Windows are looked up so many at a time that they and the items make at
+most CELLS pairs.
 
 The items of one pass travel to the tasks; at most ITEMS_PER_PASS do, and a larger benchmark takes several passes
 over the documents. Items that are null, without an item_id or without words match nothing; so do null and empty
-texts. Of an item_id with several texts each is searched. Ties are won by the first window.
+texts. Of an item_id with several texts each is searched, and the best told; so with rows that repeat a doc_id. Ties are
+won by the first window. Rows without a doc_id are in no result and stay in clean(). Other columns are left out by
+contaminated() and stay in clean().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,13 +34,23 @@ from .common import documents, free_name, narrow, written
 from .patterns import Lookup, anchors, pattern_words, row_grams
 from .textvec import Words, column_bytes, slices
 
-N, THRESHOLD, RADIUS, ITEMS_PER_PASS = 3, 0.6, 23, 20_000
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+N, THRESHOLD, RECALL, ITEMS_PER_PASS, BLOCKS, CELLS = 3, 0.6, 0.99, 20_000, 4, 1 << 22
+_ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+
+
+def radius(threshold: float, recall: float = RECALL) -> int:
+    """The Hamming distance within which fingerprints of that weighted Jaccard similarity lie with that probability."""
+    p, upto = math.acos(2 * threshold / (1 + threshold)) / math.pi, 0.0
+    for bits in range(65):
+        upto += math.comb(64, bits) * p**bits * (1 - p) ** (64 - bits)
+        if upto >= recall:
+            return bits
+    return 64
 
 
 def fingerprints(bit_sums: np.ndarray) -> np.ndarray:
-    """(windows, 64) weighted sums -> (windows, 8) bytes."""
-    return np.packbits(bit_sums > 0, axis=1)
+    """(windows, 64) weighted sums -> (windows, BLOCKS) numbers of 16 bits."""
+    return np.packbits(bit_sums > 0, axis=1).view(np.uint16)
 
 
 def signed_bits(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -55,26 +73,37 @@ class Class:
 
     def close(self) -> None:
         self.prints = np.stack([x[5] for x in self.items])
-        near = _ONES[np.arange(256, dtype=np.uint8)[:, None, None] ^ self.prints[None]] <= self.radius // 8
-        self.blocks = [np.ascontiguousarray(near[:, :, b]) for b in range(8)]
-        self.lookup = Lookup(np.concatenate([x[6] for x in self.items]))
-
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) within the radius."""
-        hit = self.blocks[0][prints[:, 0]].copy()
-        for b in range(1, 8):
-            hit |= self.blocks[b][prints[:, b]]
-        w, i = np.nonzero(hit)
-        close = _ONES[prints[w] ^ self.prints[i]].sum(1) <= self.radius
-        return w[close], i[close]
-
-
-def index(items: list[tuple[int, str]], n: int, threshold: float, radius: int) -> list[Class]:
+        held = [x[6] for x in self.items]
+        self.lookup = Lookup(np.concatenate(held))
+        # which items each of the lookup's hashes is an anchor of
+        of = np.searchsorted(self.lookup.known, np.concatenate(held))
+        order = np.argsort(of, kind="stable")
+        self.holders, self.first = np.repeat(np.arange(len(held)), [len(h) for h in held])[order], np.searchsorted(of[order], np.arange(len(self.lookup.known) + 1))
+
+    def anchored(self, hashes: np.ndarray) -> np.ndarray:
+        """The items that have one of these anchors."""
+        at = np.unique(np.searchsorted(self.lookup.known, hashes))
+        return np.unique(np.concatenate([self.holders[self.first[k] : self.first[k + 1]] for k in at]))
+
+    def candidates(self, prints: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) within the radius, of these items."""
+        found, items, step = [], self.prints[some], max(1, CELLS // len(some))
+        for k in range(0, len(prints), step):
+            part = prints[k : k + step]
+            apart = [_ONES[part[:, None, b] ^ items[None, :, b]] for b in range(BLOCKS)]
+            w, i = np.nonzero(np.minimum.reduce(apart) <= self.radius // BLOCKS)
+            close = sum(x[w, i].astype(int) for x in apart) <= self.radius
+            found.append((w[close] + k, some[i[close]]))
+        w, i = zip(*found)
+        return np.concatenate(w), np.concatenate(i)
+
+
+def index(items: list[tuple[int, str]], n: int, threshold: float, reach: int) -> list[Class]:
     words, classes = Words(), {}
     for item, text in sorted(set(items)):
         hashes, lengths = pattern_words(text, words)
         if len(hashes):
-            c = classes.setdefault(len(hashes), Class(len(hashes), n, radius))
+            c = classes.setdefault(len(hashes), Class(len(hashes), n, reach))
             shingles, weights = row_grams(hashes, lengths, np.array([0, len(hashes)]), c.n)
             end = len(hashes) - c.n + 1
             c.add(item, shingles[:end], weights[:end], threshold)
@@ -110,7 +139,7 @@ def match_class(c: Class, shingles: np.ndarray, weights: np.ndarray, rows: np.nd
     np.cumsum(signed_bits(shingles[at], weights[at]), axis=0, out=sums[1:])
     mass = np.concatenate([[0], np.cumsum(weights[at])])
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for w, i in zip(*c.candidates(fingerprints(sums[b] - sums[a]))):
+    for w, i in zip(*c.candidates(fingerprints(sums[b] - sums[a]), c.anchored(shingles[hits]))):
         item, known, count, weight, total, _, _ = c.items[i]
         own = shingles[starts[w] : ends[w]]
         place = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -147,7 +176,7 @@ def _match(classes: list[Class], threshold: float):
     return each
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, radius: int = RADIUS, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity (6 digits): the best window of each document and item that match."""
     schema = "doc_id BIGINT, item_id BIGINT, first_word INT, n_words INT, similarity DOUBLE"
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -155,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
     parts = max(1, -(-count // items_per_pass))
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        classes = index([tuple(r) for r in part.collect()], n, threshold, radius)
+        classes = index([tuple(r) for r in part.collect()], n, threshold, radius(threshold, recall))
         if classes:
             passes.append(texts.mapInArrow(_match(classes, threshold), schema))
     if not passes:
