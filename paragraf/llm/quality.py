@@ -1,29 +1,35 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents labelled of quality 1; unlabelled web text is the documents themselves, good and bad.
-No negative label is used. With the class prior pi (the share of positives in the unlabelled text) the risk
-pi R+(f) + max(0, R-unlabelled(f) - pi R-positive(f)) is minimised: the non-negative unbiased risk (Kiryo et al.,
-2017). f is linear in the features below, the loss is the sigmoid, the descent stochastic with Adam, in numpy.
-
-pi is estimated from the scores of a first classifier of positives against unlabelled text: of all thresholds the
-least ratio of the share of unlabelled text above to that of positives above, with a confidence term, bounds it from
-above (best bin estimation, Garg et al., 2021).
-
-A document is kept if its score is at least the threshold: 0, or, where less, the score that all but LOSS of
-held-out positives reach. Both samples are bounded: POSITIVE_ROWS and UNLABELLED_ROWS rows.
+Trusted positives are documents labelled of quality 1, at most POSITIVE_ROWS of them; unlabelled web text is all of the
+documents, good and bad. No negative label is used. With the class prior pi (the share of positives in the unlabelled
+text) the risk pi R+(f) + max(0, R-unlabelled(f) - pi R-positive(f)) is minimised: the non-negative unbiased risk (Kiryo
+et al., 2017). f is linear in the features below, the loss is the sigmoid, the descent is Adam in numpy.
+
+Everything about the unlabelled text is counted over all documents, in whole numbers, so that the result doesn't depend
+on how the table is cut into tasks. One pass gives the features' means and scales. One gives CELLS cells of like documents (signs of fixed
+random projections, and how far a document is from the mean), of each the number of documents and the mean features: the
+descent takes a cell as that many documents. One gives the histogram of a first classifier's scores, of positives
+against unlabelled text, each document scored by a classifier that hasn't seen it (FOLDS folds by hashed doc_id).
+Positives are scored out of fold as well. There is one rule for tables of any size.
+
+pi is estimated from that histogram: of all thresholds the least ratio of the share of unlabelled text above to that of
+positives above, with a confidence term, bounds it from above (best bin estimation, Garg et al., 2021). A document is
+kept if its score is at least the threshold: 0, or, where less, the score that all positives but LOSS of them, one at
+least, reach out of fold: one odd or wrongly labelled positive sets no threshold.
 
 Features: shares of character classes, of words that repeat, of lines that repeat, of words that end in symbols; word
 and line lengths; compression by repeated neighbours; and the shares of class trigrams (letters, capitals, digits,
 spaces, kinds of symbols). They don't depend on the language's words. All are of the whole text.
 
-Null and empty texts, and those without a word, are rejected with score null. Without positives everything else is
-kept with score null. Rows without a doc_id are left out by score(), and kept by keep_good() if their text is.
+Null and empty texts, and those without a word, are rejected with score null. Without positives, or with only one,
+everything else is kept with score null. Rows without a doc_id are left out by score(), and kept by keep_good() if their text is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,7 +40,13 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, documents
 from .textvec import Words, column_bytes, slices
 
-POSITIVE_ROWS, UNLABELLED_ROWS, LOSS = 3000, 6000, 0.002
+POSITIVE_ROWS, LOSS, FOLDS, BITS, STEPS, BATCH = 3000, 0.002, 5, 6, 600, 512
+#: Cells: signs of BITS projections, and four distances from the mean.
+CELLS = 4 << BITS
+#: Features are counted in these parts; scores in bins of this width, from -RANGE to RANGE.
+#: Weight decay: few positives would make out-of-fold scores wild without it.
+L2 = 0.01
+PARTS, BIN, RANGE = 1 << 20, 0.01, 30.0
 #: Character classes: 0 lower case and non-ASCII, 1 capital, 2 digit, 3 space, 4 line end, 5 . , and the like, 6 |, 7 the rest.
 _CLASS = np.array([4 if b == 10 else 3 if b in b" \t\r\f" else 2 if chr(b).isdigit() and b < 128 else 1 if 65 <= b <= 90 else 0 if b >= 128 or 97 <= b <= 122 else 5 if chr(b) in ".,;:'\"()-?" else 6 if chr(b) == "|" else 7 for b in range(256)], np.uint8)
 KINDS, DENSE = 8, 14
@@ -104,77 +116,172 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias. With a prior by non-negative risk; without, positives against unlabelled by logistic loss."""
-    rng, dim, k = np.random.RandomState(seed), p.shape[1] + 1, 0
-    p, u = np.hstack([p, np.ones((len(p), 1), p.dtype)]), np.hstack([u, np.ones((len(u), 1), u.dtype)])
+def _descend(p: np.ndarray, u: np.ndarray, share: np.ndarray, prior: float | None, seed: int, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and bias, from positives p and cells u with their shares of the unlabelled text. With a prior by non-negative risk; without, positives against unlabelled by logistic loss."""
+    rng, dim = np.random.RandomState(seed), p.shape[1] + 1
+    p, u = np.hstack([p, np.ones((len(p), 1))]), np.hstack([u, np.ones((len(u), 1))])
     w, m, v = np.zeros(dim), np.zeros(dim), np.zeros(dim)
-    batches = max(1, len(u) // 256)
-    for _ in range(max(epochs, -(-20 * epochs // batches))):  # few rows go through more epochs
-        for ub in np.array_split(rng.permutation(len(u)), batches):
-            xp, xu = p[rng.randint(0, len(p), min(len(p), len(ub)))], u[ub]
-            if prior is None:
-                sp, su = _sigmoid(xp @ w), _sigmoid(xu @ w)
-                g = -xp.T @ (1 - sp) / len(xp) + xu.T @ su / len(xu)
-            else:
-                # sigmoid loss: l(z) = sigmoid(-z) for positives, sigmoid(z) for negatives
-                sp, su = _sigmoid(xp @ w), _sigmoid(xu @ w)
-                dp, du = xp.T @ (sp * (1 - sp)) / len(xp), xu.T @ (su * (1 - su)) / len(xu)
-                negative = su.mean() - prior * sp.mean()
-                g = -prior * dp + du - prior * dp if negative >= 0 else prior * dp - du
-            g = g + 1e-4 * w
-            k += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - 0.02 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    for k in range(1, steps + 1):
+        xp = p[rng.randint(0, len(p), BATCH)]
+        sp, su = _sigmoid(xp @ w), _sigmoid(u @ w)
+        if prior is None:
+            g = -xp.T @ (1 - sp) / len(xp) + u.T @ (share * su)
+        else:
+            # sigmoid loss: l(z) = sigmoid(-z) for positives, sigmoid(z) for negatives
+            dp, du = xp.T @ (sp * (1 - sp)) / len(xp), u.T @ (share * su * (1 - su))
+            g = -prior * dp + du - prior * dp if share @ su >= prior * sp.mean() else prior * dp - du
+        g = g + L2 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.02 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def bins(scores: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(scores, -RANGE, RANGE) + RANGE) / BIN).astype(np.int64)
+
+
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives in unlabelled text, from held-out scores of both."""
-    cuts = np.quantile(positive, np.linspace(0, 0.9, 91))
+    """The share of positives in unlabelled text, from out-of-fold scores: bins of positives, counts by bin of unlabelled text."""
+    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.9, 91), method="lower"))
+    above, n = np.cumsum(unlabelled[::-1])[::-1], unlabelled.sum()
     ratio = []
     for c in cuts:
-        qp, qu = (positive >= c).mean(), (unlabelled >= c).mean()
-        ratio.append((qu + np.sqrt(np.log(40) / (2 * len(unlabelled))) + np.sqrt(np.log(40) / (2 * len(positive)))) / qp)
-        ratio[-1] = (ratio[-1], qu / qp)
+        qp, qu = (positive >= c).mean(), above[c] / n
+        ratio.append(((qu + np.sqrt(np.log(40) / (2 * n)) + np.sqrt(np.log(40) / (2 * len(positive)))) / qp, qu / qp))
     return float(np.clip(min(ratio)[1], 0.01, 0.99))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3) -> Model:
-    """From features. A fifth of both is held out for the prior and the threshold."""
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.01
-    p, u = ((x - mean) / scale for x in (positive, unlabelled))
-    few = len(p) < 50 or len(u) < 50
-    pf, ph = (p, p) if few else (p[np.arange(len(p)) % 5 > 0], p[::5])
-    uf, uh = (u, u) if few else (u[np.arange(len(u)) % 5 > 0], u[::5])
-    w, b = _descend(pf, uf, None, 6, seed)
-    prior = class_prior(ph @ w + b, uh @ w + b)
-    w, b = _descend(pf, uf, prior, 30, seed)
-    threshold = min(0.0, float(np.quantile(ph @ w + b, LOSS, method="lower")))
-    return Model(w, b, mean, scale, prior, threshold)
+#: Of (features, folds) of some documents: a key for each, and numbers to add up by key (none: only count).
+Keyed = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray | None]]
+#: Key -> (documents, sums in PARTS).
+Sums = dict[int, tuple[int, np.ndarray]]
+
+
+def _moments(x: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(len(x), np.int64), np.hstack([x, x * x])
+
+
+def _cells(mean: np.ndarray, scale: np.ndarray, typical: float) -> Keyed:
+    turn = np.random.RandomState(41).randn(SIZE, BITS)
+
+    def keyed(x: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = (x - mean) / scale
+        far = np.searchsorted([0.7, 1.0, 1.5], np.sqrt((z * z).sum(1)) / typical)
+        return (fold * 4 + far << BITS) + ((z @ turn[: x.shape[1]] > 0) << np.arange(BITS)).sum(1), x
+
+    return keyed
+
+
+def _histogram(models: list[Model]) -> Keyed:
+    def keyed(x: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, None]:
+        scores = np.stack([m.score(x) for m in models])[fold, np.arange(len(x))] if len(x) else np.zeros(0)
+        return bins(scores), None
+
+    return keyed
+
+
+def add(sums: Sums, keys: np.ndarray, values: np.ndarray | None) -> None:
+    """Adds documents to sums; whole numbers, so in any order."""
+    order = np.argsort(keys, kind="stable")
+    known, first, n = np.unique(keys[order], return_index=True, return_counts=True)
+    totals = np.zeros((len(known), 0), np.int64) if values is None or not len(known) else np.add.reduceat(np.rint(values[order].astype(np.float64) * PARTS).astype(np.int64), first, axis=0)
+    for k, c, t in zip(known.tolist(), n.tolist(), totals):
+        sums[k] = (sums[k][0] + c, sums[k][1] + t) if k in sums else (c, t)
+
+
+def train(positive: np.ndarray, folds: np.ndarray, gathered: Callable[[Keyed], Sums], seed: int = 3) -> Model | None:
+    """From the features and folds of positives, and what gathered(keyed) adds up over all documents."""
+    if len(set(folds.tolist())) < 2:  # none are left to score out of fold
+        return None
+    moments = gathered(_moments)
+    if not moments:
+        return None
+    n, total = moments[0]
+    mean, square = (total[: total.size // 2] / PARTS / n, total[total.size // 2 :] / PARTS / n)
+    variance = np.maximum(square - mean * mean, 0)
+    scale = np.sqrt(variance) + 0.01
+    cells = sorted(gathered(_cells(mean, scale, float(np.sqrt((variance / scale**2).sum())) + 1e-9)).items())
+    size = np.array([c for _, (c, _) in cells], float)
+    p, u = (positive - mean) / scale, (np.stack([t for _, (_, t) in cells]) / PARTS / size[:, None] - mean) / scale
+    where = np.array([k // CELLS for k, _ in cells])
+
+    def model(apart: int, prior: float | None, steps: int) -> Model:
+        """Of what isn't in the fold apart; where that is nothing, of all."""
+        own = where != apart if (where != apart).any() else where >= 0
+        share = size[own] / size[own].sum()
+        fit = folds != apart if (folds != apart).any() else folds >= 0
+        return Model(*_descend(p[fit], u[own], share, prior, seed, steps), mean, scale, prior or 0.0, 0.0)
+
+    first = [model(k, None, STEPS // 4) for k in range(FOLDS)]
+    out = lambda models: np.stack([m.score(positive) for m in models])[folds, np.arange(len(positive))]
+    counts = np.zeros(int(2 * RANGE / BIN) + 1)
+    for k, (c, _) in gathered(_histogram(first)).items():
+        counts[k] = c
+    prior = class_prior(bins(out(first)), counts)
+    held = out([model(k, prior, STEPS) for k in range(FOLDS)])
+    final = model(-1, prior, STEPS)
+    final.threshold = min(0.0, float(np.quantile(held, LOSS, method="higher")))
+    return final
+
+
+def _text_features(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows that have a word, and their features."""
+    words = Words()
+    for batch in batches:
+        data, offsets = column_bytes(batch.column(column))
+        for lo, hi in slices(offsets, 1 << 19):
+            x, counts = _features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
+            yield batch.slice(lo, hi - lo).filter(pa.array(counts > 0)), x[counts > 0]
 
 
 def text_features(texts: list[str]) -> np.ndarray:
     """Features of those texts that have a word."""
-    data, offsets = column_bytes(pa.array(texts, pa.large_string()))
-    words, found = Words(), [np.zeros((0, SIZE), np.float32)]
-    for lo, hi in slices(offsets):
-        x, counts = _features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
-        found.append(x[counts > 0])
-    return np.concatenate(found)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    return np.concatenate([np.zeros((0, SIZE), np.float32), *(x for _, x in _text_features(iter([batch]), 0))])
+
+
+def _gathered(rows: DataFrame, keyed: Keyed) -> Sums:
+    """Of rows (fold, text). Tasks add up what they read; of each key the tasks' sums meet in one task."""
+
+    def packed(sums: Sums) -> Iterator[pa.RecordBatch]:
+        keys = sorted(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sums[k][0] for k in keys], pa.int64()), pa.array([sums[k][1].tobytes() for k in keys], pa.binary())], names=["key", "n", "sums"])
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Sums = {}
+        for batch, x in _text_features(batches, 1):
+            add(sums, *keyed(x, batch.column(0).to_numpy()))
+        yield from packed(sums)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Sums = {}
+        for batch in batches:
+            for k, c, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                t = np.frombuffer(t, np.int64)
+                sums[k] = (sums[k][0] + c, sums[k][1] + t) if k in sums else (c, t)
+        yield from packed(sums)
+
+    schema = "key BIGINT, n BIGINT, sums BINARY"
+    return {r["key"]: (r["n"], np.frombuffer(r["sums"], np.int64)) for r in rows.mapInArrow(each, schema).repartition(8, "key").mapInArrow(merged, schema).collect()}
 
-def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model | None:
-    """None if there are no positives. Of a doc_id with several labels one of quality 1 suffices."""
-    texts = documents(docs)
+
+def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS) -> Model | None:
+    """None if there are no two positives. Of a doc_id with several labels one of quality 1 suffices."""
+    texts = documents(docs).where("text IS NOT NULL")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
     good = bounded_sample(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "doc_id", positive_rows)
     # One text of each: of rows that repeat a doc_id the least.
-    trusted = texts.where("text IS NOT NULL").join(F.broadcast(good), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    positive = text_features([r["text"] for r in sorted(trusted.collect())])
-    if not len(positive):
+    trusted = texts.join(F.broadcast(good), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x in _text_features(batches, 2):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "fold", "x"])
+
+    rows = sorted(trusted.select("doc_id", fold, "text").mapInArrow(features, "doc_id BIGINT, fold INT, x BINARY").collect())
+    if not rows:
         return None
-    unlabelled = text_features([r["text"] for r in bounded_sample(texts, "doc_id", unlabelled_rows, seed=29).collect() if r["text"] is not None])
-    return train(positive, unlabelled)
+    positive = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
+    return train(positive, np.array([r["fold"] for r in rows]), partial(_gathered, texts.select(fold, "text")))
 
 
 def _score(model: Model):
