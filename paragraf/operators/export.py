@@ -18,6 +18,8 @@ from pyspark.sql.types import StringType
 from .graph import Graph
 
 _OPTIONS = {"ignoreNullFields": "false"}
+#: Rows that one string on the driver takes at most.
+MOST = 100_000
 _UNBOUNDED = "0001-01-01T00:00:00Z"
 
 
@@ -78,9 +80,17 @@ def write_document_lines(docs: DataFrame, path: str) -> None:
     document_lines(docs).write.text(path)
 
 
-def documents_json(docs: DataFrame, order: str = "id") -> str:
-    """One array of all documents, on the driver; for small results. Tables are exported as lines."""
-    return "[" + ",".join(r["line"] for r in docs.orderBy(order).select(document_json().alias("line")).collect()) + "]"
+def _few(lines: DataFrame, most: int) -> list[str]:
+    """Lines for one string on the driver; ValueError beyond so many."""
+    found = [r["line"] for r in lines.limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: export them as lines")
+    return found
+
+
+def documents_json(docs: DataFrame, order: str = "id", most: int = MOST) -> str:
+    """One array of all documents, on the driver; of at most so many. Tables are exported as lines."""
+    return "[" + ",".join(_few(docs.orderBy(order).select(document_json().alias("line")), most)) + "]"
 
 
 def _number(c: Column) -> Column:
@@ -116,9 +126,9 @@ def write_graph_lines(graph: Graph, nodes_path: str, edges_path: str) -> None:
     edge_lines(graph).write.text(edges_path)
 
 
-def graph_json(graph: Graph) -> str:
-    """{"nodes": [...], "edges": [...]}, on the driver; large graphs are exported as lines."""
-    sides = [",".join(r["line"] for r in rows.collect()) for rows in (node_lines(graph), edge_lines(graph))]
+def graph_json(graph: Graph, most: int = MOST) -> str:
+    """{"nodes": [...], "edges": [...]}, on the driver, of at most so many each; large graphs are exported as lines."""
+    sides = [",".join(_few(rows, most)) for rows in (node_lines(graph), edge_lines(graph))]
     return '{"nodes":[' + sides[0] + '],"edges":[' + sides[1] + "]}"
 
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -11,7 +12,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     s = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "6g").config("spark.sql.warehouse.dir", "/tmp/paragraf-warehouse").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.driver.memory", "6g").config("spark.sql.warehouse.dir", "/tmp/paragraf-warehouse").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='paragraf-tests-')}").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

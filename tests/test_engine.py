@@ -114,6 +114,9 @@ def test_export(spark, built):
     assert json.loads(lines[1])["Sections"][0]["References"] == [{"Type": "law", "Target": "B"}]
     assert docs.select(export.document_json_pretty().alias("x")).first().x.startswith('{\n  "ID": "a"')
     assert [d["ID"] for d in json.loads(export.documents_json(docs))] == ["a", "b"]
+    for call in (lambda: export.documents_json(docs, most=1), lambda: export.graph_json(built, most=1)):
+        with pytest.raises(ValueError):
+            call()
     whole = json.loads(export.graph_json(built))
     assert [n["ID"] for n in whole["nodes"]] == sorted(n["ID"] for n in whole["nodes"]) and '"Weight":2,' in export.graph_json(built)
 
