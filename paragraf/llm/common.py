@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side (ids and the like) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows of one Arrow batch at most, where texts go to Python.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,8 +65,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session sends at most BATCH_ROWS rows at once to Python: texts are long, and both sides hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id as BIGINT and text of docs, whatever other columns there are; rows without a doc_id are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
 
 

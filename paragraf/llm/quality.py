@@ -14,8 +14,9 @@ Positives are scored out of fold as well. There is one rule for tables of any si
 
 pi is estimated from that histogram: of all thresholds the least ratio of the share of unlabelled text above to that of
 positives above, with a confidence term, bounds it from above (best bin estimation, Garg et al., 2021). A document is
-kept if its score is at least the threshold: 0, or, where less, the score that all positives but LOSS of them, one at
-least, reach out of fold: one odd or wrongly labelled positive sets no threshold.
+kept if its score is at least the threshold: 0, or, where less, the score that all positives reach out of fold but for
+LOSS of them and SPARE more: an odd or wrongly labelled positive sets no threshold. (Out of fold they are harder than
+for the classifier that has seen them.)
 
 Features: shares of character classes, of words that repeat, of lines that repeat, of words that end in symbols; word
 and line lengths; compression by repeated neighbours; and the shares of class trigrams (letters, capitals, digits,
@@ -37,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents
+from .common import bounded_sample, documents, small_batches
 from .textvec import Words, column_bytes, slices
 
-POSITIVE_ROWS, LOSS, FOLDS, BITS, STEPS, BATCH = 3000, 0.002, 5, 6, 600, 512
+POSITIVE_ROWS, LOSS, SPARE, FOLDS, BITS, STEPS, BATCH = 3000, 0.002, 2, 5, 6, 600, 512
 #: Cells: signs of BITS projections, and four distances from the mean.
 CELLS = 4 << BITS
 #: Features are counted in these parts; scores in bins of this width, from -RANGE to RANGE.
@@ -220,7 +221,7 @@ def train(positive: np.ndarray, folds: np.ndarray, gathered: Callable[[Keyed], S
     prior = class_prior(bins(out(first)), counts)
     held = out([model(k, prior, STEPS) for k in range(FOLDS)])
     final = model(-1, prior, STEPS)
-    final.threshold = min(0.0, float(np.quantile(held, LOSS, method="higher")))
+    final.threshold = min(0.0, float(np.sort(held)[min(len(held) - 1, int(LOSS * len(held)) + SPARE)]))
     return final
 
 
@@ -229,7 +230,7 @@ def _text_features(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[t
     words = Words()
     for batch in batches:
         data, offsets = column_bytes(batch.column(column))
-        for lo, hi in slices(offsets, 1 << 19):
+        for lo, hi in slices(offsets, 1 << 19, 512):
             x, counts = _features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
             yield batch.slice(lo, hi - lo).filter(pa.array(counts > 0)), x[counts > 0]
 
@@ -289,7 +290,7 @@ def _score(model: Model):
         words = Words()
         for batch in batches:
             data, offsets = column_bytes(batch.column(batch.num_columns - 1))
-            for lo, hi in slices(offsets, 1 << 19):
+            for lo, hi in slices(offsets, 1 << 19, 512):
                 x, counts = _features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
                 score = np.where(counts > 0, model.score(x), -np.inf)
                 kept = score >= model.threshold
@@ -312,6 +313,7 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.where(text.rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
     keeps = _score(model)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def kept(column: pd.Series) -> pd.Series:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import narrow, written
+from .common import narrow, small_batches, written
 
 LOCAL, STRETCH = 100_000, 1 << 20
 _LINE, _QUOTED, _SPACES = re.compile("\r?\n"), re.compile(r"((?:[ \t]*>)+)[ \t]?(.*)\Z", re.S), re.compile("[ \t\r\n\f]+")
@@ -155,6 +155,7 @@ def _previous(messages: DataFrame) -> DataFrame:
 
 def reply_ordered(messages: DataFrame, local: int = LOCAL) -> DataFrame:
     """conv_id, reply_rank (from 0), turn, role, text (without quotes), parent_turn, depth, n_quotes, n_linked."""
+    small_batches(messages.sparkSession)
     named = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = ["conv_id", "turn", "role", "text"]
     placed = named.where("conv_id IS NOT NULL AND turn IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order)

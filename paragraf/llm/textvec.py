@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE, ROWS = 1 << 20, 8192
 _P = 0x9E3779B97F4A7C15
 _Q = pow(_P, -1, 1 << 64)
 _CODES = np.random.RandomState(20_011).randint(0, 1 << 32, (2, 256)).astype(np.uint64)
@@ -39,11 +39,11 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about size bytes; a row beyond that is one by itself."""
+def slices(offsets: np.ndarray, size: int = SLICE, rows: int = ROWS) -> Iterator[tuple[int, int]]:
+    """Ranges of at most that many rows of about size bytes in all; a row beyond that is one by itself."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        to = min(n, at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
         yield at, to
         at = to
 
