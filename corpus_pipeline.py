@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 Quality: documents the classifier rejects go. Near duplicates: one document of each group stays, that of least
 doc_id. Benchmark: contaminated documents go. Secrets: they are replaced by [SECRET] in texts that all stay. Packing:
 pieces of documents with their places in sequences.
+
+Any stage takes any table of documents. Texts that are null, empty or without a word go in the quality stage. Rows
+without a doc_id pass the stages before packing, which takes none of them. Rows that repeat a doc_id with the same text
+become one in the near-duplicate stage; with other texts they are documents of their own, but go all if one of them is
+contaminated. Very long texts are read whole and packed in pieces. Other columns, whatever their names, stay as they
+are up to packing. Equal texts: the least doc_id stays. An empty table gives an empty table. Where labels hold no two
+positives, the quality stage keeps all texts that have a word.
 """
 
 from __future__ import annotations
@@ -44,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: Trained models and the packing plan are beyond SQL; tests hold run() against a brute-force version.
+#: Trained models and the packing plan are beyond SQL; tests hold each stage against a brute-force version, and run() against its stages.
 ORACLE_SQL: str | None = None
 
 
