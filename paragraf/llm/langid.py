@@ -3,7 +3,8 @@
 Subwords are runs of 2, 3 and 4 bytes of the lower-cased text that have no ASCII separator inside (one may stand at
 either end and marks a word's edge). Each is hashed to a bucket with a vector of DIM numbers; the mean vector of a
 text goes through a linear softmax. Vectors and softmax are trained together by stochastic gradient descent in numpy
-on a bounded sample of labelled rows: SAMPLE_ROWS rows, of which every fifth is held out.
+on a bounded sample of labelled rows: SAMPLE_ROWS rows. Every fifth of them is held out, the first among them. Training
+takes STEPS steps of a row, of few rows as of many.
 
 Rejection is calibrated on the held-out rows. A temperature makes the probabilities honest; a text is rejected
 (accepted = false, lang as guessed) if its probability is below that of all but REJECT of the held-out rows, or if
@@ -11,7 +12,8 @@ the share of its subwords that training saw is below that of all but REJECT of t
 
 For scoring, vectors and softmax are folded into one table of a number for each bucket and language, so a text costs
 one lookup for each subword. Null and empty texts and those without a subword get lang null, probability 0 and
-accepted false. Without labelled rows all texts get that. Rows without a doc_id are left out; repeated rows are
+accepted false. So do all texts where there is nothing to learn from: no rows to train on that have subwords, or rows of
+one language only. Equally probable languages: the first by name. Rows without a doc_id are left out; repeated rows are
 answered each.
 """
 
@@ -29,8 +31,8 @@ from .common import bounded_sample, documents
 from .textvec import column_bytes, slices
 
 SIZES, BUCKET_BITS, DIM, SAMPLE_ROWS, REJECT = (2, 3, 4), 15, 16, 3000, 0.002
-#: Steps that training takes at least; few rows go through more epochs.
-STEPS = 6000
+#: Steps that training takes, one row each.
+STEPS = 15_000
 BUCKETS = len(SIZES) << BUCKET_BITS
 _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -89,24 +91,24 @@ def _scores(model: Model, buckets: np.ndarray) -> tuple[np.ndarray, float]:
     return model.table[buckets].mean(0) + model.bias, float(model.seen[buckets].mean())
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: int = 1) -> Model:
-    """rows: (lang, text). Stochastic gradient descent, one document a step."""
+def train(rows: list[tuple[str, str]], count: int = STEPS, rate: float = 0.5, seed: int = 1) -> Model | None:
+    """rows: (lang, text). Stochastic gradient descent, one document a step; None if there is nothing to learn."""
     langs = sorted({lang for lang, _ in rows})
     data = [(langs.index(lang), b) for lang, text in rows if len(b := _row_buckets(text))]
     rng = np.random.RandomState(seed)
     rng.shuffle(order := np.arange(len(data)))
-    held = [data[i] for i in order[::5]] if len(data) >= 50 else data
-    fit = [data[i] for k, i in enumerate(order) if k % 5] if len(data) >= 50 else data
+    held, fit = [data[i] for i in order[::5]], [data[i] for k, i in enumerate(order) if k % 5]
+    if len({y for y, _ in fit}) < 2:
+        return None
     # a text's mean vector is its distinct buckets' vectors weighted by their shares
     compact = [(y, *(lambda u, c: (u, (c / c.sum()).astype(np.float32)))(*np.unique(b, return_counts=True))) for y, b in fit]
     emb = (rng.randn(BUCKETS, DIM) * 0.1).astype(np.float32)
     out, bias = (rng.randn(DIM, len(langs)) * 0.1).astype(np.float32), np.zeros(len(langs), np.float32)
-    epochs = max(epochs, -(-STEPS // max(1, len(compact))))
-    steps, k = max(1, epochs * len(compact)), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(compact)):
+    k = 0
+    while k < count:
+        for i in rng.permutation(len(compact))[: count - k]:
             y, u, share = compact[i]
-            step = rate * (1 - k / steps)
+            step = rate * (1 - k / count)
             k += 1
             mean = share @ emb[u]
             z = mean @ out + bias
@@ -121,16 +123,15 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed:
     for _, u, _ in compact:
         seen[u] = True
     model = Model(langs, (emb @ out).astype(np.float32), bias, seen)
-    if held:
-        scored = [_scores(model, b) for _, b in held]
-        logits, truth = np.array([s for s, _ in scored]), np.array([y for y, _ in held])
-        losses = {}
-        for t in np.geomspace(0.05, 5, 60):
-            model.temperature = float(t)
-            losses[float(t)] = -np.log(model.probabilities(logits)[np.arange(len(truth)), truth] + 1e-12).mean()
-        model.temperature = min(losses, key=losses.get)
-        model.least_probability = float(np.quantile(model.probabilities(logits).max(1), REJECT, method="lower"))
-        model.least_seen = float(np.quantile([s for _, s in scored], REJECT, method="lower"))
+    scored = [_scores(model, b) for _, b in held]
+    logits, truth = np.array([s for s, _ in scored]), np.array([y for y, _ in held])
+    losses = {}
+    for t in np.geomspace(0.05, 5, 60):
+        model.temperature = float(t)
+        losses[float(t)] = -np.log(model.probabilities(logits)[np.arange(len(truth)), truth] + 1e-12).mean()
+    model.temperature = min(losses, key=losses.get)
+    model.least_probability = float(np.quantile(model.probabilities(logits).max(1), REJECT, method="lower"))
+    model.least_seen = float(np.quantile([s for _, s in scored], REJECT, method="lower"))
     return model
 
 
@@ -163,7 +164,7 @@ def _identify(model: Model):
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """Trained on at most rows rows of docs with doc_id, lang and text; None if there are none or of one language only."""
+    """Trained on at most rows rows of docs with doc_id, lang and text; None if there is nothing to learn."""
     labelled = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sample = [(r["lang"], r["text"]) for r in bounded_sample(labelled, "doc_id", rows).collect() if r["text"] is not None]
     return train(sample) if sample else None

@@ -17,7 +17,7 @@ go through FILTERS filters, whose greatest value in each of the three parts and
 HIDDEN units to one logit. It is written and trained in numpy, on the labelled findings of findings().
 
 A held-out part of the findings calibrates it: a temperature makes the probabilities honest, and each kind of
-candidate gets the greatest threshold that finds at least RECALL of its secrets.
+candidate gets the greatest threshold that finds at least RECALL of its secrets, but 0.5 at most.
 
 Null and empty texts hold no candidates. Overlapping candidates are one finding, of the longest secret span. Rows
 without a doc_id are left out by scan(), and redacted like any other by redact(). Repeated rows are scanned each.
@@ -25,6 +25,7 @@ without a doc_id are left out by scan(), and redacted like any other by redact()
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 BEFORE, AFTER, WIDTH, FILTERS, HIDDEN, RECALL, FINDINGS, LONG = 32, 12, 5, 40, 32, 0.995, 16000, 512
 KINDS = ("assigned", "opaque", "block")
@@ -268,10 +269,10 @@ def planted(seed: int) -> Iterator[tuple[str, int, int, int]]:
         return chars(alnum + "!@#%^&*_-", r.randint(6, 20)) if r.rand() < 0.5 else pick([word() + chars(dig, r.randint(2, 6)), word().title() + chars("!@#_", 1) + chars(dig, 3) + word(), hexa(r.randint(6, 24)), chars(alnum, r.randint(6, 16))])
 
     def harmless() -> str:
-        return pick([lambda: chars(dig, 16), lambda: chars(dig, 16), lambda: word().upper() + word().upper() + word().upper() + word().upper(), lambda: chars(dig, r.randint(16, 24)), lambda: f"{chars(dig, 4)}-{chars(dig, 4)}-{chars(dig, 4)}-{chars(dig, 4)}", lambda: f"20{chars(dig, 2)}-0{chars('123456789', 1)}-1{chars(dig, 1)}T1{chars(dig, 1)}.30.00", lambda: f"{hexa(8)}-{hexa(4)}-4{hexa(3)}-a{hexa(3)}-{hexa(12)}", lambda: f"/{word()}/{word()}/{word()}{chars(dig, 2)}.html", lambda: f"{word()}_{word()}_{word()}_{chars(dig, 2)}", lambda: f"www.{word()}{word()}{chars(dig, 1)}.example.com", lambda: f"{word()}-{word()}-{word()}-{word()}-{chars(dig, 3)}", lambda: f"{word()}{word()}{word()}{chars(dig, 1)}"])()
+        return pick([lambda: chars(dig, 16), lambda: chars(dig, 16), lambda: word().upper() + word().upper() + word().upper() + word().upper(), lambda: chars(dig, r.randint(16, 24)), lambda: f"{chars(dig, 4)}-{chars(dig, 4)}-{chars(dig, 4)}-{chars(dig, 4)}", lambda: f"20{chars(dig, 2)}-0{chars('123456789', 1)}-1{chars(dig, 1)}T1{chars(dig, 1)}.30.00", lambda: f"{hexa(8)}-{hexa(4)}-4{hexa(3)}-a{hexa(3)}-{hexa(12)}", lambda: f"/{word()}/{word()}/{word()}{chars(dig, 2)}.html", lambda: f"{word()}_{word()}_{word()}_{chars(dig, 2)}", lambda: f"www.{word()}{word()}{chars(dig, 1)}.example.com", lambda: f"{word()}-{word()}-{word()}-{word()}-{chars(dig, 3)}", lambda: f"{word()}{word()}{word()}{chars(dig, 1)}", lambda: f"https://www.{word()}.example.com/{word()}/20{chars(dig, 2)}/0{chars(dig, 1)}/{word()}-{word()}-{word()}", lambda: f"{word()}.{chars(dig, 2)}@{word()}{chars(dig, 1)}.example.org"])()
 
     def value() -> str:
-        return pick([lambda: word() + word(), lambda: word() + word() + ",", lambda: "********", lambda: "xxxxxxxx", lambda: "${" + word().upper() + "}", lambda: "YOUR_API_KEY", lambda: "<" + word() + ">" if False else "required", lambda: "undefined", lambda: "os.environ", lambda: "getenv(" + word() + ")", lambda: "optional"])()
+        return pick([lambda: word() + word(), lambda: word() + word() + ",", lambda: "********", lambda: "xxxxxxxx", lambda: "${" + word().upper() + "}", lambda: "YOUR_API_KEY", lambda: "required", lambda: "undefined", lambda: "os.environ", lambda: "getenv(" + word() + ")", lambda: f"{word()}_{word()}({word()})", lambda: f"{word()}.{word()}()", lambda: f"self.{word()}{word()}", lambda: f"${{{word().upper()}_{word().upper()}}}", lambda: f"{pick(['return', 'None', 'null', 'string', 'input'])} {word()}", lambda: "optional"])()
 
     while True:
         quote, before, after = pick(["", "", '"', '"', "'"]), prose(r.randint(0, 9)), prose(r.randint(0, 5))
@@ -330,10 +331,10 @@ def planted(seed: int) -> Iterator[tuple[str, int, int, int]]:
 
 
 def train(labelled: list[tuple[str, int, int, int, int]], epochs: int = 10, seed: int = 11) -> Model:
-    """Adam over batches of 64; every fourth finding is held out for calibration."""
+    """Adam over batches of 64; every fourth finding, from the first on, is held out for calibration."""
     rows, y, kinds = [_encode(t, a, b) for t, _, a, b, _ in labelled], np.array([x[4] for x in labelled], np.float32), np.array([x[1] for x in labelled])
-    held = np.arange(len(rows)) % 4 == 3 if len(rows) >= 40 else np.ones(len(rows), bool)
-    fit = np.flatnonzero(~held) if len(rows) >= 40 else np.arange(len(rows))
+    held = np.arange(len(rows)) % 4 == 0
+    fit = np.flatnonzero(~held)
     net, r = Net(seed), np.random.RandomState(seed)
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     step = 0
@@ -358,7 +359,9 @@ def train(labelled: list[tuple[str, int, int, int, int]], epochs: int = 10, seed
     return Model(net, temperature, tuple(thresholds))
 
 
+@functools.cache
 def fit() -> Model:
+    """Trained on findings(), which depend on nothing: once in a process."""
     return train(findings())
 
 
@@ -397,6 +400,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 def redact(docs: DataFrame, model: Model, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret replaced by mark, all rows and columns kept; n_chars, if there is one, follows the text."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def without(texts: pd.Series) -> pd.Series:
         out = []
