@@ -7,6 +7,7 @@ repeated rows and columns with clashing names.
 import itertools
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -519,6 +520,31 @@ def test_embeddings_that_are_all_equal(spark):
     assert found.count() == 900 and found.where("class_id = 0 AND n_links = 899").count() == 900
 
 
+def test_embeddings_take_disk_by_the_vector_not_by_the_pair_of_tiles(spark, monkeypatch):
+    r = np.random.RandomState(3)
+    x = r.randn(1500, 24).astype(np.float32)
+    x[1000:] = x[:500] + 0.3 * r.randn(500, 24)
+    monkeypatch.setattr(embeddings, "CHUNK_BYTES", x.nbytes // 3, raising=False)  # several passes
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(f.length() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()))
+    sizes, over = [held()], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            sizes.append(held())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        found = sorted(tuple(p) for p in embeddings.near_duplicates(table, 0.5, 16).collect())
+    finally:
+        over.set()
+        watcher.join()
+    assert max(sizes) - sizes[0] < 8 * x.nbytes + 1_000_000  # shuffled tiles of all pairs would take far more
+    assert found == sorted(brute_classes(range(len(x)), x.astype(float), 0.5))
+
+
 def test_tiles_never_lose_a_pair():
     r = np.random.RandomState(2)
     x = r.randn(200, 40) * np.geomspace(4, 0.1, 40)
