@@ -25,6 +25,8 @@ from .export import write_json_file
 from .parse import federal_document, portal_document
 
 WORKERS, MAX_FAILURES, BATCH_ROWS = 4, 100, 10_000
+#: Rounds of parsing, storing and marking that a run takes at most.
+MOST_ROUNDS = 8
 
 
 def document_key(doc_id: Column | str, url: Column | str) -> Column:
@@ -108,7 +110,7 @@ class Report:
     total_unique: int = 0
     failed: list[dict[str, str]] = field(default_factory=list)
     missing: list[str] = field(default_factory=list)
-    #: Tables of all outcomes (document_key, url, reason, outcome), one a batch.
+    #: Tables of all outcomes (document_key, url, reason, outcome), one a round.
     outcomes: str = ""
 
     @property
@@ -151,12 +153,14 @@ def run(
 ) -> Report:
     """Fetches refs (pos, id, url, title, and if there is one, source_key) that aren't done, parses and stores them, marks progress, reports.
 
-    workdir: shared folder for the answers and parsed documents of this run. Refs are taken in batches of about batch_rows
-    by hashed key, and progress is marked after each: a run that is killed goes on with the batch that it was in, from
-    the answers that batch had written. sink: gets the documents of a batch with source_key; if it fails, all of them
-    count as failed to store. progress_path: Parquet that progress is read from and appended to. Without
-    continue_on_error a run raises IngestError after the first batch with failures, when it has accounted for it. on_progress
-    gets the report so far after each batch, snapshot_path the same as JSON, snapshot_every_s seconds apart at least.
+    workdir: shared folder for the answers and parsed documents of this run. Refs are fetched in batches of about batch_rows
+    by hashed key, whose answers are written at once. Parsing, storing and marking cost a plan each, whatever they hold, so
+    they take a batch each up to MOST_ROUNDS batches, and beyond that as many together as make MOST_ROUNDS rounds. A run
+    that is killed goes on with the round that it was in, from the answers that its batches had written. sink: gets the
+    documents of a round with source_key; if it fails, those of each of its batches, and all of a batch that fails count as
+    failed to store. progress_path: Parquet that progress is read from and appended to. Without
+    continue_on_error a round is a batch, and a run raises IngestError after the first with failures, when it has accounted for it.
+    on_progress gets the report so far after each round, snapshot_path the same as JSON, snapshot_every_s seconds apart at least.
     snapshot: called on executors with id and payload of each answer, once at least.
 
     The report lists at most max_failures failures and as many missing keys; the folder in report.outcomes holds all.
@@ -177,27 +181,36 @@ def run(
     todo = kept(pending(unique, _read_progress(spark, progress_path), source), "todo")
     queued, total_unique = todo.count(), unique.count()
     batches = max(1, -(-queued // batch_rows))
+    together = max(1, -(-batches // MOST_ROUNDS)) if continue_on_error else 1
     report = Report(source, started, started, listed, total_unique, total_unique=total_unique, skipped_completed=total_unique - queued, outcomes=f"{at}/*/outcomes")
     doc = completed(F.col("d"), F.col("id"), F.col("title"), F.col("url"), jurisdiction)
-    for k in range(batches if queued else 0):
-        part = todo.where(F.pmod(F.xxhash64("document_key"), F.lit(batches)) == k)
-        known = None if left is None else left.join(part.select("document_key", F.col("url").alias("asked")), "document_key").where("url = asked").drop("asked")
-        asked = part if known is None else part.join(known, "document_key", "left_anti")
-        answers = fetched(asked, fetcher, workers, snapshot)
-        answers = kept((answers if known is None else answers.unionByName(known)).withColumn("source", F.lit(source)), f"batch-{k}/answers")
-        answers = answers.join(part.select("document_key", "source_key"), "document_key")
-        parsed = kept(answers.where("error IS NULL").withColumn("d", parse(F.col("payload"))).select("document_key", "url", "source_key", doc.alias("d")), f"batch-{k}/parsed")
-        good = parsed.where("d.error IS NULL").select("document_key", "source_key", "d.*").drop("error")
-        sink_error = None
-        if sink is not None and not good.isEmpty():
-            try:
-                sink(good.drop("document_key"))
-            except Exception as e:  # the sink is the caller's; its failure is accounted for
-                sink_error = str(e) or type(e).__name__
-        ended = "fetched" if sink is None else "store_failed" if sink_error else "stored"
+    number = F.pmod(F.xxhash64("document_key"), F.lit(batches)).cast("int")
+
+    def batched(df: DataFrame, name: str) -> DataFrame:
+        """df by batch, so that a batch reads its own rows only."""
+        rows = df.withColumn("batch", number)
+        rows.repartition("batch").write.partitionBy("batch").parquet(f"{at}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{at}/{name}")
+
+    parts = batched(todo, "batched") if queued else todo
+    known = None if left is None or not queued else batched(left.join(todo.select("document_key", F.col("url").alias("asked")), "document_key").where("url = asked").drop("asked"), "known")
+    for r in range(-(-batches // together) if queued else 0):
+        here = range(r * together, min(batches, (r + 1) * together))
+        for k in here:
+            asked, had = parts.where(F.col("batch") == k), None if known is None else known.where(F.col("batch") == k).drop("batch", "source")
+            answers = fetched(asked if had is None else asked.join(had, "document_key", "left_anti"), fetcher, workers, snapshot)
+            (answers if had is None else answers.unionByName(had)).withColumn("source", F.lit(source)).write.parquet(f"{at}/round-{r}/batch-{k}/answers")
+        answers = spark.read.schema(_FETCHED + ", source STRING").parquet(*[f"{at}/round-{r}/batch-{k}/answers" for k in here])
+        # Hashed over all cores: joins of short rows leave few partitions, and parsing is what costs.
+        got = answers.where("error IS NULL").join(parts.where(F.col("batch").between(here[0], here[-1])).select("document_key", "source_key", "batch"), "document_key").repartition(spark.sparkContext.defaultParallelism, "document_key")
+        parsed = kept(got.withColumn("d", parse(F.col("payload"))).select("document_key", "url", "source_key", "batch", doc.alias("d")), f"round-{r}/parsed")
+        good = parsed.where("d.error IS NULL").select("document_key", "source_key", "batch", "d.*").drop("error")
+        errors = {} if sink is None or good.isEmpty() else _stored(good, sink, here)
+        reason = F.create_map(*[F.lit(x) for item in errors.items() for x in item])[F.col("batch")] if errors else F.lit(None).cast("string")
+        ended = F.lit("fetched") if sink is None else F.when(reason.isNotNull(), "store_failed").otherwise("stored")
         failed = answers.where("error IS NOT NULL").select("document_key", "url", F.col("error").alias("reason")).unionByName(parsed.where("d.error IS NOT NULL").select("document_key", "url", F.col("d.error").alias("reason")))
-        states = failed.select("document_key", "url", "reason", F.lit("fetch_failed").alias("outcome")).unionByName(good.select("document_key", F.col("source_url").alias("url"), F.lit(sink_error).cast("string").alias("reason"), F.lit(ended).alias("outcome")))
-        outcomes = kept(states, f"batch-{k}/outcomes")
+        states = failed.select("document_key", "url", "reason", F.lit("fetch_failed").alias("outcome")).unionByName(good.select("document_key", F.col("source_url").alias("url"), reason.alias("reason"), ended.alias("outcome")))
+        outcomes = kept(states, f"round-{r}/outcomes")
         if progress_path:
             marks = outcomes.select(F.lit(source).alias("source"), "document_key", F.when(F.col("outcome").endswith("failed"), "failed").otherwise("completed").alias("status"), F.coalesce("reason", F.lit("")).alias("reason"), F.current_timestamp().alias("updated_at"))
             marks.write.mode("append").parquet(progress_path)
@@ -218,8 +231,23 @@ def run(
     return report
 
 
+def _stored(good: DataFrame, sink: Callable[[DataFrame], None], batches: range) -> dict[int, str]:
+    """Hands good documents to the sink: together, or if that fails, batch by batch. The errors of the batches that failed."""
+    errors = {}
+    for some in ([batches] if len(batches) == 1 else [batches, *(range(k, k + 1) for k in batches)]):
+        try:
+            sink(good.where(F.col("batch").between(some[0], some[-1])).drop("document_key", "batch"))
+        except Exception as e:  # the sink is the caller's; its failure is accounted for
+            if len(some) == 1:
+                errors[some[0]] = str(e) or type(e).__name__
+        else:
+            if some == batches:
+                break
+    return errors
+
+
 def _account(report: Report, outcomes: DataFrame, most: int) -> None:
-    """Adds a batch to the report; of failures and missing keys the least, most of each."""
+    """Adds a round to the report; of failures and missing keys the least, most of each."""
     counts = outcome_counts(outcomes).first()
     for name in ("total_fetched", "total_stored", "total_failed"):
         setattr(report, name, getattr(report, name) + counts[name])
@@ -231,12 +259,12 @@ def _account(report: Report, outcomes: DataFrame, most: int) -> None:
 
 
 def _left_answers(spark: SparkSession, base: str, source: str) -> DataFrame | None:
-    """Good answers of batches that were never accounted for, a row a key: those of runs that died."""
+    """Good answers of rounds that were never accounted for, a row a key: those of runs that died."""
     path = spark._jvm.org.apache.hadoop.fs.Path
-    where = path(f"{base}/run-*/batch-*/answers/_SUCCESS")
+    where = path(f"{base}/run-*/{{batch-*,round-*/batch-*}}/answers/_SUCCESS")
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    folders = [str(s.getPath().getParent().getParent()) for s in fs.globStatus(where) or []]
-    dead = [f"{f}/answers" for f in folders if not fs.exists(path(f"{f}/outcomes/_SUCCESS"))]
+    folders = [s.getPath().getParent().getParent() for s in fs.globStatus(where) or []]
+    dead = [f"{f}/answers" for f in map(str, folders) if not any(fs.exists(path(f"{at}/outcomes/_SUCCESS")) for at in (f, f.rpartition("/")[0]))]
     if not dead:
         return None
     rows = spark.read.schema(_FETCHED + ", source STRING").parquet(*dead).where((F.col("source") == source) & F.col("error").isNull())

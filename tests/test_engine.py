@@ -230,6 +230,50 @@ def test_ingest_goes_on_after_a_kill(spark, tmp_path):
     assert len(keys) == 12 and keys["g3"] == "eigen" and keys["g1"] == "bund"
 
 
+def test_ingest_takes_batches_together(spark, tmp_path, monkeypatch):
+    """Rounds are bounded whatever the batches; a sink's failure costs one batch; a killed round's answers are taken up."""
+    monkeypatch.setattr(ingest, "MOST_ROUNDS", 2)
+    base, calls, log = str(tmp_path / "landing"), [], tmp_path / "log"
+    log.mkdir()
+    for k in range(12):
+        landing.land(base, f"https://x/{k}", f"<law id='g{k}'><title>t</title></law>".encode())
+    refs = spark.createDataFrame([(k, f"g{k}", f"https://x/{k}", "t") for k in range(12)], "pos INT, id STRING, url STRING, title STRING")
+    folder = str(log)
+
+    def fetcher():
+        import os
+        import uuid
+
+        def fetch(url):
+            open(os.path.join(folder, url.rsplit("/", 1)[-1] + "-" + uuid.uuid4().hex), "w").close()
+            return landing.replay(base)(url)
+
+        return fetch
+
+    def sink(docs):
+        ids = {r.id for r in docs.select("id").collect()}
+        calls.append(ids)
+        if "g3" in ids:
+            raise ValueError("g3 is not for this sink")
+
+    def dying(docs):
+        raise KeyboardInterrupt
+
+    settings = dict(parse=parse.xml_document, workdir=str(tmp_path / "w"), source="s", jurisdiction="DE", progress_path=str(tmp_path / "progress"), batch_rows=2)
+    with pytest.raises(KeyboardInterrupt):
+        ingest.run(refs, fetcher, sink=dying, **settings)
+    report = ingest.run(refs, fetcher, sink=sink, **settings)
+    assert sorted(p.name.split("-")[0] for p in log.iterdir()) == sorted(map(str, range(12)))
+    lost = min((c for c in calls if "g3" in c), key=len)
+    assert report.total_fetched == 12 and report.total_failed == len(lost) < 6 and report.total_stored == 12 - len(lost)
+    assert set().union(*[c for c in calls if "g3" not in c]) | lost == {f"g{k}" for k in range(12)}
+    calls.clear()
+    more = spark.createDataFrame([(k, f"h{k}", f"https://x/{k % 12}", "t") for k in range(12)], "pos INT, id STRING, url STRING, title STRING")
+    shown = []
+    ingest.run(more, fetcher, sink=lambda docs: calls.append(docs.count()), on_progress=lambda r: shown.append(r.total_stored), **settings)
+    assert len(calls) == len(shown) == 2 and sum(calls) == shown[-1] == 12
+
+
 def test_first_error_stops_a_run(spark, tmp_path):
     refs = spark.createDataFrame([(k, f"g{k}", f"https://x/{k}", "t") for k in range(9)], "pos INT, id STRING, url STRING, title STRING")
     with pytest.raises(ingest.IngestError) as e:
