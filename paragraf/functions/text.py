@@ -19,7 +19,7 @@ def let(value: Column, use) -> Column:
 
 def trimmed(c: Column | str) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapsed(c: Column | str) -> Column:
@@ -39,7 +39,7 @@ def first_non_blank(*values: Column | str) -> Column:
 
 def node_token(c: Column | str) -> Column:
     """Lower case; every run of other characters than a-z and 0-9 one hyphen, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def path_part(c: Column | str) -> Column:

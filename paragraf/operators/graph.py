@@ -37,10 +37,11 @@ class Kinds:
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes (id, type, label, jurisdiction, metadata) by id; edges (from, to, type, weight, metadata) by the first three."""
+    """nodes (id, type, label, jurisdiction, metadata) by id; edges (from, to, type, weight, metadata) by the first three; documents: the ids of nodes that are documents, without merging nodes."""
 
     nodes: DataFrame
     edges: DataFrame
+    documents: DataFrame | None = None
 
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.where(F.col("id") == trimmed(F.lit(node_id)))
@@ -165,25 +166,30 @@ def emitted(docs: DataFrame, kinds: Kinds = Kinds(), order: str = "id") -> tuple
     return out[0], out[1]
 
 
-def _by_entry(rows: DataFrame) -> DataFrame:
-    """A row for each entry of metadata (k, v), or one with null k; opens marks the first of each."""
-    entries = rows.select("*", F.posexplode_outer("metadata").alias("_n", "k", "v"))
-    return entries.withColumn("opens", F.coalesce(F.col("_n") == 0, F.lit(True))).drop("_n", "metadata")
+def _last_map(rows: DataFrame) -> tuple[Column, Column]:
+    """Of rows with metadata and seq: their names, to group by beside the key, and the last entries (seq, e) of such a group."""
+    entries = F.when(F.size("metadata") > 0, F.struct("seq", F.map_entries("metadata").alias("e")))
+    return F.map_keys("metadata").alias("_names"), F.max(entries).alias("_last")
 
 
-#: Of each name the value that came last, from an aggregate by name before.
-_LAST_METADATA = "coalesce(map_from_entries(array_sort(collect_list(struct(k, v)) FILTER (WHERE k IS NOT NULL))), cast(map() AS map<string,string>)) AS metadata"
+def _merged_map() -> Column:
+    """Of groups of equal key and other names each: of each name the value that came last."""
+    flat = F.flatten(F.transform(F.sort_array(F.collect_list("_last")), lambda x: x["e"]))
+    last = lambda all_, k: F.element_at(F.filter(all_, lambda x: x["key"] == k), -1)
+    one = F.when(F.count("_last") > 1, F.transform(F.array_distinct(F.transform(flat, lambda x: x["key"])), lambda k: last(flat, k))).otherwise(flat)
+    return F.coalesce(F.map_from_entries(F.sort_array(one)), _none()).alias("metadata")
 
 
 def merged_nodes(rows: DataFrame) -> DataFrame:
     """One row an id: the first type but unknown, the first label and jurisdiction that aren't blank, the last metadata.
 
-    Two aggregations, by id and name and then by id, in one pass over rows.
+    Two aggregations, by id and the names of its metadata and then by id, in one pass over rows: of rows with the same names the last holds them all.
     """
     clean = rows.select(trimmed("id").alias("id"), F.coalesce("type", F.lit("unknown")).alias("type"), _blank("label").alias("label"), _blank("jurisdiction").alias("jurisdiction"), F.coalesce("metadata", _none()).alias("metadata"), "seq").where("id <> ''")
     facts = {"type": "unknown", "label": "", "jurisdiction": ""}
-    by_name = _by_entry(clean).groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"), *[F.min(F.when(F.col(c) != blank, F.struct("seq", F.col(c).alias("x")))).alias(c) for c, blank in facts.items()])
-    return by_name.groupBy("id").agg(*[F.coalesce(F.min(c)["x"], F.lit(blank)).alias(c) for c, blank in facts.items()], F.expr(_LAST_METADATA))
+    names, last = _last_map(clean)
+    by_names = clean.groupBy("id", names).agg(last, *[F.min(F.when(F.col(c) != blank, F.struct("seq", F.col(c).alias("x")))).alias(c) for c, blank in facts.items()])
+    return by_names.groupBy("id").agg(*[F.coalesce(F.min(c)["x"], F.lit(blank)).alias(c) for c, blank in facts.items()], _merged_map())
 
 
 def merged_edges(rows: DataFrame, metadata: bool = True) -> DataFrame:
@@ -193,8 +199,8 @@ def merged_edges(rows: DataFrame, metadata: bool = True) -> DataFrame:
     clean = clean.where("`from` <> '' AND `to` <> '' AND `from` <> `to`")
     if not metadata:
         return clean.groupBy(*keys).agg(F.sum("weight").alias("weight"), _none().alias("metadata"))
-    by_name = _by_entry(clean).groupBy(*keys, "k").agg(F.max_by("v", "seq").alias("v"), F.sum(F.when(F.col("opens"), F.col("weight")).otherwise(0.0)).alias("weight"))
-    return by_name.groupBy(*keys).agg(F.sum("weight").alias("weight"), F.expr(_LAST_METADATA))
+    names, last = _last_map(clean)
+    return clean.groupBy(*keys, names).agg(last, F.sum("weight").alias("weight")).groupBy(*keys).agg(F.sum("weight").alias("weight"), _merged_map())
 
 
 def build(docs: DataFrame, kinds: Kinds = Kinds(), order: str = "id", metadata: bool = True) -> Graph:
@@ -203,4 +209,5 @@ def build(docs: DataFrame, kinds: Kinds = Kinds(), order: str = "id", metadata:
     Without metadata those of edges stay empty, which spares an aggregation.
     """
     nodes, edges = emitted(docs, kinds, order)
-    return Graph(merged_nodes(nodes), merged_edges(edges, metadata))
+    own = docs.select(document_node("id", "short_title", "title", "source_url", "type").alias("id")).distinct()
+    return Graph(merged_nodes(nodes), merged_edges(edges, metadata), own)

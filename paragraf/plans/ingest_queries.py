@@ -200,8 +200,7 @@ def graph_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of many nodes at once: those that leave documents."""
     built = graph.build(order_documents(spark, sf_dir))
-    ids = built.sorted_nodes().where("metadata['document_id'] IS NOT NULL").select("id")
-    return built.neighbours(ids).select("from", "to", "type", "weight")
+    return built.neighbours(built.documents).select("from", "to", "type", "weight")
 
 
 # Ingest

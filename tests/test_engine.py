@@ -72,6 +72,19 @@ def test_merge_rules(spark):
     assert (found.type, found.label, found.jurisdiction, found.metadata) == ("law", "L", "DE", {"k": "0"})
 
 
+def test_last_metadata_of_other_names(spark):
+    """Rows with other names each: every name keeps the value that came last; the shuffles hold no row for each name."""
+    rows = [("n", "law", "L", "", {"a": "1", "b": "1"}, 1), ("n", "law", "L", "", {"b": "2", "c": "2"}, 2), ("n", "law", "L", "", {"a": "3", "b": "3"}, 3), ("n", "law", "L", "", {}, 4), ("n", "law", "L", "", {"c": None}, 5), ("m", "law", "", "", None, 6)]
+    merged = graph.merged_nodes(spark.createDataFrame(rows, "id STRING, type STRING, label STRING, jurisdiction STRING, metadata MAP<STRING,STRING>, seq INT"))
+    assert {r.id: r.metadata for r in merged.collect()} == {"n": {"a": "3", "b": "3", "c": None}, "m": {}}
+    assert "Generate" not in merged._jdf.queryExecution().toString()
+
+
+def test_document_ids_need_no_merged_nodes(built):
+    assert sorted(r.id for r in built.documents.collect()) == sorted(r.id for r in built.nodes.where("metadata['document_id'] IS NOT NULL").collect())
+    assert {r["from"] for r in built.neighbours(built.documents).collect()} == {"law:a"}
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate([[1.0, 0.0], [2.0, 0.0], [0.0, 1.0], [0.0, 0.0], None, [1.0], [float("nan"), 1.0]])], "k INT, embedding ARRAY<FLOAT>")
     assert [(r.k, round(r.distance, 6)) for r in vector.similar(rows, [1.0, 0.0], 0, keys=("k",)).collect()] == [(0, 0.0), (1, 0.0), (2, 1.0)]
