@@ -23,10 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one task at most, about, where each row becomes many.
+SPREAD_ROWS = 100_000
+
+
 def _spread(df: DataFrame) -> DataFrame:
-    """Before costly Python: a table of fewer splits than there are cores is spread over them; others stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Before costly Python: a table of fewer splits than there are cores, or than hold SPREAD_ROWS each, is spread over so many; others stay as they are."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SPREAD_ROWS))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def _query(sql: str | None = None):

@@ -85,6 +85,13 @@ def test_document_ids_need_no_merged_nodes(built):
     assert {r["from"] for r in built.neighbours(built.documents).collect()} == {"law:a"}
 
 
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    from paragraf.plans import queries
+
+    monkeypatch.setattr(queries, "SPREAD_ROWS", 10)
+    assert queries._spread(spark.range(1000)).rdd.getNumPartitions() == 100 and queries._spread(spark.range(5)).rdd.getNumPartitions() == 8
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate([[1.0, 0.0], [2.0, 0.0], [0.0, 1.0], [0.0, 0.0], None, [1.0], [float("nan"), 1.0]])], "k INT, embedding ARRAY<FLOAT>")
     assert [(r.k, round(r.distance, 6)) for r in vector.similar(rows, [1.0, 0.0], 0, keys=("k",)).collect()] == [(0, 0.0), (1, 0.0), (2, 1.0)]
