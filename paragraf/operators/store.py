@@ -29,6 +29,8 @@ TABLES = {
 }
 #: Batches that a read takes at most, about; then they are made one.
 COMPACT_AFTER = 64
+#: Ids that repeat in a batch, up to which they are broadcast.
+BROADCAST_IDS = 100_000
 _CHUNK = ["document_id", "section_index", "chunk_index"]
 
 
@@ -68,14 +70,21 @@ def document_rows(docs: DataFrame, source_key: Column | str, order: str | None =
     """
     key = non_blank(F.lit(source_key) if isinstance(source_key, str) else source_key)
     named = docs.withColumn("id", persistable_id("id", "source_url", "title"))
-    if not named.where("id IS NULL").isEmpty():
+    repeated = named.groupBy("id").agg(F.count("*").alias("n"))
+    nameless, many = repeated.agg(F.coalesce(F.bool_or(F.col("id").isNull()), F.lit(False)), F.count_if(F.col("n") > 1)).first()
+    if nameless:
         raise ValueError("a document needs an id, a URL or a title")
     versions = ensured_versions(F.col("versions"), F.col("effective_from"), F.col("published_at"), F.col("effective_to"))
     named = named.withColumn("versions", versions)
     start, end = filled_range(F.col("versions"), F.col("effective_from"), F.col("effective_to"))
     whole = named.withColumns({"effective_from": start, "effective_to": end}).withColumns({"_json": document_json(), "source_key": F.coalesce(key, F.lit(""))})
     whole = whole.withColumn("_order", F.col(order) if order else F.col("_json"))
-    one = last_of_each(whole.drop(order) if order else whole, ["id"], "_order")
+    whole = whole.drop(order) if order else whole
+    one = whole.drop("_order")
+    if many:  # only documents of ids that repeat are compared, so that texts of others stay where they are
+        repeated = repeated.where("n > 1").select("id")
+        repeated = F.broadcast(repeated) if many <= BROADCAST_IDS else repeated
+        one = one.join(repeated, "id", "left_anti").unionByName(last_of_each(whole.join(repeated, "id", "left_semi"), ["id"], "_order"))
     text = lambda n: trimmed(F.coalesce(F.col(n), F.lit(""))).alias(n)
     documents = one.select("id", "source_key", *[text(n) for n in ("title", "short_title", "jurisdiction")], F.coalesce("type", F.lit("")).alias("type"), "published_at", "effective_from", "effective_to", text("source_url"), _json(F.map_from_entries(F.array_sort(F.map_entries("metadata"))), "{}").alias("metadata"), F.col("_json").alias("document_json"), F.current_timestamp().alias("updated_at"))
     part = lambda n: trimmed(F.coalesce(F.col("s")[n], F.lit(""))).alias(n)
@@ -184,9 +193,9 @@ class Store:
         if name == "embeddings":
             return last_of_each(rows, _CHUNK, "_batch")
         docs = rows if name == "documents" else self._rows("documents", commits)
-        last = docs.groupBy(F.col("id").alias("_id")).agg(F.max("_batch").alias("_last"))
+        replaced = docs.groupBy(F.col("id").alias("_id")).agg(F.min("_batch").alias("_first"), F.max("_batch").alias("_last")).where("_first < _last")
         key = "id" if name == "documents" else "document_id"
-        return rows.join(last, (F.col(key) == F.col("_id")) & (F.col("_batch") == F.col("_last")), "left_semi").drop("_batch")
+        return rows.join(replaced, (F.col(key) == F.col("_id")) & (F.col("_batch") < F.col("_last")), "left_anti").drop("_batch")
 
     def read(self, name: str) -> DataFrame:
         return self._read(name, self._commits())

@@ -149,7 +149,7 @@ def portal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.concat(F.lit("Z"), (i + 1).cast("string")).alias("identifier"), F.lit("").alias("heading"), x.alias("content"), F.array().cast("array<struct<type:string,target:string>>").alias("refs"), F.array().cast("array<struct<source:string,target:string>>").alias("norm_chains")))
-    return _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select(*[c for c in _as_document(F.col)]).drop("sections").join(_table(spark, sf_dir, "documents").select(F.concat(F.lit("d-"), "doc_id").alias("id"), lines.alias("sections")), "id")
+    return _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select(*_as_document(F.col), lines.alias("_lines")).drop("sections").withColumnRenamed("_lines", "sections")
 
 
 _TRIM = r"regexp_replace(line, '^[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')"

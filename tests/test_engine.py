@@ -385,6 +385,21 @@ def test_store(spark, tmp_path):
     assert sorted(map(str, last_of_each(rows, ["k"], "o").collect())) == ["Row(k=1, v='y')", "Row(k=None, v='z')"]
 
 
+def test_texts_are_shuffled_only_where_ids_repeat(spark, monkeypatch):
+    from paragraf.operators import store as module
+
+    frame = lambda *rows: spark.createDataFrame(list(rows), DOCUMENT)
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    once = module.document_rows(frame(document("a", "eins", [section("1")]), document("b", "b")), "s")
+    assert not any(word in plan(rows) for rows in once.values() for word in ("Aggregate", "Join"))
+    docs = frame(document("a", "eins", [section("1"), section("2")]), document("a", "zwei", [section("9")]), document("a", "drei"), document("b", "b", [section("3")]))
+    for most in (module.BROADCAST_IDS, 0):
+        monkeypatch.setattr(module, "BROADCAST_IDS", most)
+        twice = module.document_rows(docs, "s")
+        assert sorted((r.id, r.title) for r in twice["documents"].collect()) == [("a", "zwei"), ("b", "b")]
+        assert sorted((r.document_id, r.identifier) for r in twice["sections"].collect()) == [("a", "9"), ("b", "3")]
+
+
 def test_stream(spark, tmp_path):
     base, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
     run = lambda: upsert_landing(spark, base, store, parse.xml_document, str(tmp_path / "check"), "s", "DE", str(tmp_path / "failures")).awaitTermination()
