@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,35 +70,66 @@ def _packed(size: int):
     return each
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+class _Best:
+    """Of a block of queries the nearest rows so far, and some more, which may tie."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, limit: int) -> None:
+        self.ids, self.x, self.more = ids, x, limit + 16
+        self.far, self.named = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+
+    def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
+        far = 1 - self.x @ y.T
+        far[self.ids[:, None] == ids] = np.inf
+        far, named = np.concatenate([self.far, far], 1), np.concatenate([self.named, np.broadcast_to(ids, far.shape)], 1)
+        if far.shape[1] > self.more:
+            at = np.argpartition(far, self.more - 1, axis=1)[:, : self.more]
+            far, named = np.take_along_axis(far, at, 1), np.take_along_axis(named, at, 1)
+        self.far, self.named = far, named
+
+    def batch(self) -> pa.RecordBatch:
+        i, j = np.nonzero(np.isfinite(self.far))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(self.named[i, j]), pa.array(self.far[i, j])], names=["query_id", "id", "distance"])
+
+
+def _nearest_to(sent: Broadcast, limit: int, tile: int):
+    """Of rows (id, v), as they come, the nearest to each of the queries that were broadcast (ids, vectors of length 1)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, x = sent.value
+        best = [_Best(q[k : k + tile], x[k : k + tile], limit) for k in range(0, len(q), tile)]
+        for batch in batches:
+            for k in range(0, batch.num_rows, tile):
+                part = batch.slice(k, tile)
+                ids = part.column(0).to_numpy()
+                y = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
+                for b in best:
+                    b.meet(ids, y)
+        yield from (b.batch() for b in best)
+
+    return each
+
+
 def _nearest(limit: int):
-    """Of blocks of queries (b, q_ids, q_v) and of rows (ids, v): each query's nearest rows that the task has seen, and some more, which may tie."""
-    more = limit + 16
+    """The same of blocks of queries (b, q_ids, q_v) and of rows (ids, v) that were shuffled to meet, read where they lie."""
 
-    def unit(raw: bytes, n: int) -> np.ndarray:
-        x = np.frombuffer(raw, np.float64).reshape(n, -1)
-        return x / np.sqrt((x * x).sum(1, keepdims=True))
+    def matrix(raw: pa.Scalar, n: int) -> np.ndarray:
+        return _unit(np.frombuffer(raw.as_buffer(), np.float64).reshape(n, -1))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[int, _Best] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["b"] not in asked:
-                    q = np.frombuffer(r["q_ids"], np.int64)
-                    asked[r["b"]] = q, unit(r["q_v"], len(q))
-                    best[r["b"]] = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
-                q, x = asked[r["b"]]
-                ids = np.frombuffer(r["ids"], np.int64)
-                far = 1 - x @ unit(r["v"], len(ids)).T
-                far[q[:, None] == ids] = np.inf
-                far, named = np.concatenate([best[r["b"]][0], far], 1), np.concatenate([best[r["b"]][1], np.broadcast_to(ids, far.shape)], 1)
-                if far.shape[1] > more:
-                    at = np.argpartition(far, more - 1, axis=1)[:, :more]
-                    far, named = np.take_along_axis(far, at, 1), np.take_along_axis(named, at, 1)
-                best[r["b"]] = far, named
-        for b, (far, named) in best.items():
-            i, j = np.nonzero(np.isfinite(far))
-            yield pa.RecordBatch.from_arrays([pa.array(asked[b][0][i]), pa.array(named[i, j]), pa.array(far[i, j])], names=["query_id", "id", "distance"])
+            names, q_ids, q_v, row_ids, v = batch.columns
+            for r, b in enumerate(names.to_pylist()):
+                if b not in best:
+                    q = np.frombuffer(q_ids[r].as_py(), np.int64)
+                    best[b] = _Best(q, matrix(q_v[r], len(q)), limit)
+                ids = np.frombuffer(row_ids[r].as_buffer(), np.int64)
+                best[b].meet(ids, matrix(v[r], len(ids)))
+        yield from (b.batch() for b in best.values())
 
     return each
 
@@ -110,18 +142,26 @@ def _good(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def similar_to_all(rows: DataFrame, limit: int = LIMIT, key: str = "vec_id", vector: str = "embedding", tile: int = TILE, queries: DataFrame | None = None) -> DataFrame:
     """query_id, rank (from 1), id, distance: of every query (a row of queries, else of rows) the nearest rows. Rows of equal keys aren't each other's.
 
-    Blocks of queries meet blocks of rows; rows are read in place and each task sends on its best only. Queries are
-    broadcast up to BROADCAST_BYTES of them, beyond that shuffled by block. Keys are whole numbers; vectors meet those
+    Each task sends on its best only. Queries up to BROADCAST_BYTES of them are broadcast once, and rows are compared as they
+    are read, without a copy for each block of queries; beyond that blocks of both are shuffled to meet. Keys are whole numbers; vectors meet those
     of their own length, one length after the other.
     """
     found, good, asked = None, _good(rows, key, vector), _good(rows if queries is None else queries, key, vector)
+    context = rows.sparkSession.sparkContext
     for n, count in sorted((r["n"], r["count"]) for r in asked.groupBy(F.size("v").alias("n")).count().collect()):
+        if count * (n + 1) * 8 <= BROADCAST_BYTES:
+            held = asked.where(F.size("v") == n).toArrow().combine_chunks()
+            x = _unit(np.asarray(held.column(1).combine_chunks().flatten(), np.float64).reshape(-1, n))
+            sent = context.broadcast((held.column(0).to_numpy(), x))
+            near = good.where(F.size("v") == n).mapInArrow(_nearest_to(sent, limit, tile), "query_id BIGINT, id BIGINT, distance DOUBLE")
+            found = near if found is None else found.unionByName(near)
+            continue
         blocks = max(1, -(-count // tile))
         q = asked.where(F.size("v") == n).repartition(blocks, F.xxhash64("id")).mapInArrow(_packed(tile), "ids BINARY, v BINARY")
         # A block's number is its digest, taken modulo the numbers that rows are sent to.
         q = q.select(F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int").alias("part"), F.xxhash64("ids").alias("b"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
         own = good.where(F.size("v") == n).mapInArrow(_packed(tile), "ids BINARY, v BINARY").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = own.join(F.broadcast(q) if count * (n + 1) * 8 <= BROADCAST_BYTES else q, "part").select("b", "q_ids", "q_v", "ids", "v")
+        pairs = own.join(q, "part").select("b", "q_ids", "q_v", "ids", "v")
         near = pairs.mapInArrow(_nearest(limit), "query_id BIGINT, id BIGINT, distance DOUBLE")
         found = near if found is None else found.unionByName(near)
     if found is None:

@@ -113,6 +113,16 @@ def test_search_of_queries_and_lengths(spark):
     assert found[1000, 1] == 1001
 
 
+def test_rows_meet_broadcast_queries_without_copies(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(x) for x in np.random.default_rng(k).normal(size=4)]) for k in range(300)], "vec_id INT, embedding ARRAY<DOUBLE>")
+    near = lambda: vector.similar_to_all(rows, 3, tile=64, queries=rows.where("vec_id % 2 = 0"))
+    found = near()
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", 0)
+    told = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.distance, 9)) for r in df.collect())
+    assert told(found) == told(near()) and len(told(found)) == 450
+
+
 def test_cells_reach_their_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     cells = vector.fit_cells(rows, 8)
