@@ -738,3 +738,9 @@ def test_broadcast_is_checked(spark):
     hinted = lambda df: "Broadcast" in df._jdf.queryExecution().toString() or "strategy=broadcast" in df._jdf.queryExecution().toString()
     assert hinted(narrow(rows, limit=50)) and not hinted(narrow(rows, limit=49))
     assert not hinted(narrow(rows, F.lit(10), limit=499)) and BROADCAST_ROWS == 1_000_000
+
+
+def test_a_pass_of_tiles_is_short(spark):
+    """20 MB of tiles take several passes, so that no task compares its tiles with all of them."""
+    packed = spark.range(5).selectExpr("int(id) AS tile", "double(id) AS low", "double(id) AS high", "cast(repeat('x', 4 << 20) AS BINARY) AS raw")
+    assert [tiles for _, _, tiles in embeddings._chunks(packed)] == [[0, 1], [2, 3], [4]]
